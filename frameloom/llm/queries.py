@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import exact_dedup, mixing
+from frameloom.llm import exact_dedup, html_text, langid, lm_scoring, mixing
 from frameloom.session import ship_package
 
 
@@ -24,4 +24,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup)}
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder(4) == 2).alias("held_out"))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), model).drop("text")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(5) != 1).alias("train"))
+    out = lm_scoring.score(docs)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op4_language_id, op5_html_text, op7_lm_scoring)}
