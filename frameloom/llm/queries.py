@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import exact_dedup, html_text, langid, lm_scoring, mixing
+from frameloom.llm import exact_dedup, html_text, langid, lm_scoring, mixing, ngram_jaccard
 from frameloom.session import ship_package
 
 
@@ -28,6 +28,11 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_jaccard.near_classes(_table(spark, sf_dir, "documents"), n_words=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder(4) == 2).alias("held_out"))
     model = langid.fit(docs.filter(~F.col("held_out")))
@@ -44,4 +49,4 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op4_language_id, op5_html_text, op7_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_ngram_jaccard, op4_language_id, op5_html_text, op7_lm_scoring)}
