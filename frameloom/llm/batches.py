@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space of every contract: space and the control characters 9 to 13.
 IS_WHITE = np.zeros(256, bool)
@@ -41,7 +42,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np
 def slices(table: pa.RecordBatch | pa.Table, text: str, most: int):
     """Row ranges of at most ``most`` bytes of text, or of one row."""
     column = table.column(text)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     start = 0
     while start < len(sizes):
         n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, "right")))
