@@ -83,9 +83,10 @@ def decisions(counts: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, that ``index.add`` keeps. Rows equal in id, length and digest keep one of them."""
     counts, groups = index.add(docs, id_col, text_col)
-    own = counts.select(F.col("digest"), F.col("doc_id").alias("keep_id"), "n_points", F.col("copies").alias("_same"))
-    won = groups.filter("fresh").drop("fresh", "group_size").join(own, [F.col("digest") == own["digest"], F.col("keep_id").eqNullSafe(own["keep_id"]), F.col("n_points") == own["n_points"]], "left")
-    won = written(won.select(groups["digest"].alias("_digest"), groups["keep_id"].alias("_keep"), groups["n_points"].alias("_points"), "_same"))
+    own = counts.select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_keep"), F.col("n_points").alias("_points"), F.col("copies").alias("_same"))
+    new = groups.filter("fresh")
+    same_row = (F.col("digest") == F.col("_digest")) & F.col("keep_id").eqNullSafe(F.col("_keep")) & (F.col("n_points") == F.col("_points"))
+    won = written(new.join(own, same_row).select("_digest", "_keep", "_points", "_same"))
     here = docs.withColumn("_len", F.coalesce(F.length(text_col), F.lit(0)))
     rows = here.join(won, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_len") == F.col("_points")) & (digest(F.col(text_col)) == F.col("_digest")))
     if won.filter("_same > 1").isEmpty():

@@ -31,7 +31,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Candidates of the method: 7 digits or more with single or double separators; addresses with words for signs.
 _RUN = re.compile(r"\+?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9](?:[\x20().-]{0,2}[0-9])++")
-_SPELT = re.compile(r"([A-Za-z0-9][A-Za-z0-9._+-]{0,63})\s?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\s?([A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\s?[A-Za-z0-9-]{1,63})+)", re.I)
+_SPELT = re.compile(r"([A-Za-z0-9][A-Za-z0-9._+-]{0,63})\s?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\s?([A-Za-z0-9-]{1,63}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63})+)", re.I)
 _CUE = re.compile(r"(tel|phone|call|mobile|fax|cell|whatsapp)|(card|visa|credit|amex|pay)|(\bip\b|host|server|addr)|(mail|contact|write)|(order|invoice|isbn|ref|no\.|id|serial|date|version)", re.I)
 _NON_DIGIT = re.compile(r"[^0-9]+")
 
@@ -88,7 +88,7 @@ class Mention:
 
 
 def _plain(m: re.Match) -> str:
-    host = re.sub(r"\s?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\s?", ".", m[2], flags=re.I)
+    host = re.sub(r"\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\x20dot\x20", ".", m[2], flags=re.I)
     return f"{m[1]}@{host}".lower()
 
 
@@ -295,7 +295,8 @@ def joined(spans) -> str:
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: SkipChain | None = None, training_documents: int = 400, least: float = 0.9) -> DataFrame:
-    """A row for each row of ``docs``: id, n_email, n_ip, n_card, n_phone (all spans), base_sha256, spans.
+    """A row for each row of ``docs``: id, n_email, n_ip, n_card, n_phone (of the fixed patterns),
+    base_sha256 (of their spans), spans (these and the model's).
 
     A null text counts as empty and has no spans; rows are judged one by one, so equal texts get equal results and
     an empty table stays empty. ``training_documents`` bounds the labelled documents the model is trained on.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import exact_dedup, html_text, langid, lm_scoring, mixing, ngram_jaccard
+import corpus_pipeline
+from frameloom.llm import decontaminate, exact_dedup, html_text, langid, lm_scoring, mixing, ngram_jaccard, pii, secret_scan, url_filter
 from frameloom.session import ship_package
 
 
@@ -43,10 +44,37 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(5) != 1).alias("train"))
     out = lm_scoring.score(docs)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_ngram_jaccard, op4_language_id, op5_html_text, op7_lm_scoring)}
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_exact_dedup, op3_ngram_jaccard, op4_language_id, op5_html_text, op6_decontaminate,
+        op7_lm_scoring, op8_url_filter, op9_pii, op10_secret_scan, pipeline,
+    )
+}
