@@ -256,9 +256,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     by = F.coalesce(F.col("component_id").cast("string"), F.hex("digest"))
     group = rows.groupBy(by.alias("g")).agg(F.min(row).alias("stays"), F.count("*").alias("n")).filter("n > 1")
-    judged = written(rows.withColumn("g", by).join(group, "g").groupBy("doc_id", "text_hash").agg(F.max(row == F.col("stays")).alias("stays"), F.count("*").alias("same")))
+    judged = written(rows.withColumn("g", by).join(group, "g").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.max(row == F.col("stays")).alias("stays"), F.count("*").alias("same")))
     here = docs.withColumn("_hash", F.xxhash64(text_col))
-    on = [F.col(id_col).eqNullSafe(judged["doc_id"]), F.col("_hash") == judged["text_hash"]]
+    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
     kept = here.join(judged.filter(~F.col("stays") | (F.col("same") > 1)), on, "left_anti").select(*docs.columns)
     again = judged.filter(F.col("stays") & (F.col("same") > 1))
     if again.isEmpty():
