@@ -1,21 +1,621 @@
-"""The registered queries of the frame-stream operators and their SQL."""
+"""The registered queries of the frame-stream operators. Their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions import scalars, u64
+from frameloom.operators import entropy, motion, scanline, transform, units, wavelet
+from frameloom.plans import oracle
+from frameloom.sources import frames
+
+W, H, N = oracle.WIDTH, oracle.HEIGHT, oracle.FRAMES
+BLOCK, COLUMNS, ROWS = 16, W // 16, H // 16
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def bars(spark):
+    return frames.moving_bars(spark, N, W, H)
+
+
+def vectors(spark):
+    return motion.motion_search(bars(spark), W, H)
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Sources and colour
+
+
+@query
+def synthetic_frames(spark, sf_dir):
+    return bars(spark)
+
+
+@query
+def synthetic_frames_xor(spark, sf_dir):
+    return frames.drifting_xor(spark, N, W, H)
+
+
+@query
+def frame_bytes_round_trip(spark, sf_dir):
+    """Frames packed into binary rows and read back, byte for byte."""
+    packed = frames.assemble_frames(bars(spark)).withColumn("stream_id", F.lit("s"))
+    return frames.explode_frames(packed).drop("stream_id")
+
+
+@query
+def surface_formats(spark, sf_dir):
+    wide = bars(spark).withColumns({c: F.col(c) * 257 for c in "rgb"}).withColumn("a", F.lit(65535))
+    return frames.normalize_pixels(wide, "rgba16")
+
+
+@query
+def surface_floats(spark, sf_dir):
+    wide = bars(spark).withColumns({c: F.col(c) / 200.0 for c in "rgb"}).withColumn("a", F.lit(0.5))
+    return frames.normalize_pixels(wide, "rgba32f")
+
+
+@query
+def luma_plane(spark, sf_dir):
+    return bars(spark).select("frame_no", "y", "x", scalars.luma_fast("r", "g", "b").alias("luma"))
+
+
+def _ycbcr(spark):
+    return bars(spark).select("*", *(c.alias(n) for c, n in zip(scalars.ycbcr("r", "g", "b"), ("luma", "cb", "cr"), strict=True)))
+
+
+@query
+def rgb_to_ycbcr(spark, sf_dir):
+    return _ycbcr(spark).drop("r", "g", "b")
+
+
+@query
+def ycbcr_round_trip_error(spark, sf_dir):
+    back = dict(zip(("br", "bg", "bb"), scalars.rgb("luma", "cb", "cr"), strict=True))
+    off = sum((F.abs(F.col(c) - F.col(f"b{c}")) for c in "gb"), F.abs(F.col("r") - F.col("br")))
+    return _ycbcr(spark).withColumns(back).groupBy("frame_no").agg(F.sum(off).alias("error"), F.max(off).alias("worst"))
+
+
+@query
+def ycocg_reversible(spark, sf_dir):
+    rows = bars(spark).select("*", *(c.alias(n) for c, n in zip(scalars.ycocg("r", "g", "b"), ("luma", "co", "cg"), strict=True)))
+    rows = rows.withColumns(dict(zip(("br", "bg", "bb"), scalars.ycocg_back("luma", "co", "cg"), strict=True)))
+    same = (F.col("r") == F.col("br")) & (F.col("g") == F.col("bg")) & (F.col("b") == F.col("bb"))
+    return rows.groupBy("frame_no").agg(F.count_if(~same).alias("wrong"), *(F.sum(c).alias(f"sum_{c}") for c in ("luma", "co", "cg")))
+
+
+@query
+def scale_nearest(spark, sf_dir):
+    return frames.scale_nearest(bars(spark), (W, H), (70, 20)).select("frame_no", "y", "x", "r", "g", "b")
+
+
+@query
+def scale_linear(spark, sf_dir):
+    return frames.scale_linear(bars(spark), (W, H), (70, 20))
+
+
+# Block motion
+
+
+@query
+def block_grid(spark, sf_dir):
+    return motion.block_grid(spark, W - 5, H - 3, BLOCK)
+
+
+@query
+def candidate_vectors(spark, sf_dir):
+    return motion.candidates(spark, 8, 4)
+
+
+@query
+def block_sad(spark, sf_dir):
+    return motion.block_sad(bars(spark), W, H)
+
+
+@query
+def motion_search(spark, sf_dir):
+    return vectors(spark)
+
+
+def _residual(spark):
+    return motion.residual_plane(bars(spark), vectors(spark), W, H)
+
+
+@query
+def residual_plane(spark, sf_dir):
+    return _residual(spark)
+
+
+@query
+def motion_search_residual(spark, sf_dir):
+    r = _residual(spark)
+    total = sum((F.abs(f"res_{c}") for c in "gb"), F.abs("res_r"))
+    return r.groupBy("frame_no").agg(
+        F.countDistinct("block_index").alias("blocks"), F.count_distinct(F.when((F.col("dx") != 0) | (F.col("dy") != 0), F.col("block_index"))).alias("moving"), F.sum(total).alias("residual")
+    )
+
+
+@query
+def keyframe_decision(spark, sf_dir):
+    return motion.keyframes(spark.range(1, 41).select(F.col("id").alias("frame_no")), 12)
+
+
+@query
+def block_activity(spark, sf_dir):
+    return motion.block_activity(_residual(spark))
+
+
+@query
+def activity_gate(spark, sf_dir):
+    scored = motion.block_activity(_residual(spark))
+    return scored.select("frame_no", "block_index", *(F.round(motion.activity_mix(F.col("score"), m, 12, 90), 9).alias(m) for m in ("all", "active", "static")))
+
+
+@query
+def pixel_activity(spark, sf_dir):
+    return motion.pixel_activity(_residual(spark)).select("frame_no", "y", "x", "score")
+
+
+@query
+def block_remap(spark, sf_dir):
+    return motion.block_remap(vectors(spark), COLUMNS * ROWS, 2, 5)
+
+
+@query
+def vector_bank(spark, sf_dir):
+    return motion.vector_bank(vectors(spark), W, H, BLOCK, 2, 1)
+
+
+@query
+def vector_bank_shuffled(spark, sf_dir):
+    return motion.vector_bank(vectors(spark), W, H, BLOCK, 1, 2, shuffle_every=2, latch=2)
+
+
+@query
+def vector_predictor_clean(spark, sf_dir):
+    return motion.clean_predictor(vectors(spark), COLUMNS)
+
+
+@query
+def vector_diffusion(spark, sf_dir):
+    return motion.diffusion(vectors(spark), COLUMNS, 0.5)
+
+
+@query
+def vector_chain(spark, sf_dir):
+    return motion.vector_chain(vectors(spark), 1.22, 0.75, 3, 2)
+
+
+@query
+def vector_sign_flip_delta(spark, sf_dir):
+    return motion.sign_flip_delta(vectors(spark), 2, 3, (7, -5))
+
+
+@query
+def block_address_shift(spark, sf_dir):
+    return motion.address_shift(motion.block_grid(spark, W - 5, H - 3, BLOCK), W - 5, H - 3, 2, (9, -4))
+
+
+@query
+def residual_shift_rotate(spark, sf_dir):
+    return motion.shifted_residual(_residual(spark), W, H, 2, -3, 1, 1.5)
+
+
+@query
+def temporal_slice_lag(spark, sf_dir):
+    rows = spark.range(40 * 24).select(F.floor(F.col("id") / 24).alias("frame_no"), (F.col("id") % 24).alias("y"))
+    return rows.withColumn("lag", motion.slice_lag(F.col("y"), F.col("frame_no"), 5, 8, -3, 2, 3))
+
+
+@query
+def scanline_lag(spark, sf_dir):
+    rows = spark.range(30 * 24 * 4).select(F.floor(F.col("id") / 96).alias("frame_no"), F.floor(F.col("id") / 4 % 24).alias("y"), (F.col("id") % 4 * 32).alias("x"))
+    return rows.withColumn("lag", motion.scanline_lag(F.col("y"), F.col("x"), F.col("frame_no"), 2, 5, 2))
+
+
+@query
+def latch_bucket(spark, sf_dir):
+    rows = units.from_events(table(spark, sf_dir, "events"))
+    return rows.groupBy("stream_id", motion.latch_bucket(F.col("seq"), 6).alias("bucket")).agg(F.count("*").alias("units"), F.sum(F.length("payload")).cast("long").alias("bytes"))
+
+
+@query
+def hash_mix(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return rows.withColumns({"mixed": F.hex(u64.mix(u64.times(F.col("l_orderkey"), u64.GOLDEN))), "split": F.hex(u64.splitmix(F.col("l_orderkey") * 8 + F.col("l_linenumber")))})
+
+
+@query
+def hash_unit_switch(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y"))
+    seed = u64.cell_seed(F.col("l_linenumber").cast("long"), F.col("x"), F.col("y"), F.col("l_orderkey"), 5, 2)
+    return rows.select("l_orderkey", "l_linenumber", motion.switch(motion.bleed(F.lit(0.25), 0.12), seed).alias("dirty"))
+
+
+@query
+def index_jitter(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(500).select(i, scalars.index_jitter(i, 0, 4).alias("jx"), scalars.index_jitter(i, 1, 4).alias("jy"))
+
+
+# Cosine transform and entropy symbols
+
+
+def _quantized(spark, sf_dir):
+    return transform.quantized(transform.samples(table(spark, sf_dir, "embeddings")))
+
+
+def _dc(spark, sf_dir):
+    rows = _quantized(spark, sf_dir).filter("zz = 0")
+    return rows.select((F.col("block") % 8).cast("int").alias("plane"), F.floor(F.col("block") / 8).cast("int").alias("block_no"), F.col("c").alias("dc"))
+
+
+@query
+def block_samples(spark, sf_dir):
+    return transform.samples(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def block_dct(spark, sf_dir):
+    f = F.round("f", 4)
+    return transform.forward(transform.samples(table(spark, sf_dir, "embeddings"))).withColumn("f", F.when(f == 0, 0.0).otherwise(f))
+
+
+@query
+def block_dct_energy(spark, sf_dir):
+    rows = transform.forward(transform.samples(table(spark, sf_dir, "embeddings")))
+    return rows.groupBy("block").agg(F.round(F.sum(F.col("f") * F.col("f")), 3).alias("energy"))
+
+
+@query
+def dct_quantize(spark, sf_dir):
+    return _quantized(spark, sf_dir)
+
+
+@query
+def idct_round_trip(spark, sf_dir):
+    """The largest error of a transform and its inverse is nothing but rounding."""
+    s = transform.samples(table(spark, sf_dir, "embeddings"))
+    back = transform.inverse(transform.forward(s)).withColumnRenamed("s", "t")
+    return s.join(back, ["block", "y", "x"]).groupBy("block").agg(F.round(F.max(F.abs(F.col("s") - F.col("t"))), 6).alias("worst"), F.count("*").alias("n"))
+
+
+@query
+def zigzag_scan(spark, sf_dir):
+    return _quantized(spark, sf_dir).groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("zz", "c"))), lambda s: s["c"]), ",").alias("scan"))
+
+
+@query
+def ac_rotate(spark, sf_dir):
+    return transform.ac_rotated(_quantized(spark, sf_dir), 7).select("block", "zz", "c")
+
+
+@query
+def zigzag_reverse(spark, sf_dir):
+    return transform.zigzag_reversed(_quantized(spark, sf_dir)).select("block", "zz", "c")
+
+
+@query
+def block_transpose(spark, sf_dir):
+    return transform.transposed(_quantized(spark, sf_dir)).select("block", "u", "v", "c")
+
+
+@query
+def lowpass(spark, sf_dir):
+    return transform.low_passed(_quantized(spark, sf_dir), 6).select("block", "zz", "c")
+
+
+@query
+def requantize(spark, sf_dir):
+    return transform.requantized(_quantized(spark, sf_dir), 2.5).select("block", "zz", "c")
+
+
+@query
+def coefficient_sign_flip(spark, sf_dir):
+    return transform.sign_flipped(_quantized(spark, sf_dir), 3, F.col("block") + 1).select("block", "zz", "c")
+
+
+@query
+def dc_block_offset(spark, sf_dir):
+    return transform.dc_offset(_quantized(spark, sf_dir), 5, F.col("block") + 1, 24).filter("zz = 0").select("block", "c")
+
+
+@query
+def dc_drift_running(spark, sf_dir):
+    return transform.dc_drift(_dc(spark, sf_dir), 6, 12)
+
+
+@query
+def block_shift_repeat(spark, sf_dir):
+    rows = spark.range(400).select(F.col("id").cast("int").alias("block_no"))
+    return transform.block_sources(rows, 20, 20, 4, (3, 1), 5)
+
+
+@query
+def chroma_subsample_mean(spark, sf_dir):
+    odd = _ycbcr(spark).filter((F.col("x") < W - 1) & (F.col("y") < H - 1))
+    return transform.chroma_mean(odd, "cb")
+
+
+@query
+def dc_dpcm(spark, sf_dir):
+    return entropy.dc_differences(_dc(spark, sf_dir))
+
+
+@query
+def ac_run_symbols(spark, sf_dir):
+    return entropy.ac_symbols(_quantized(spark, sf_dir))
+
+
+@query
+def symbol_histogram(spark, sf_dir):
+    return entropy.histogram(entropy.ac_symbols(_quantized(spark, sf_dir)))
+
+
+# Wavelets
+
+
+def _planes(spark):
+    rows = frames.drifting_xor(spark, N, W - 1, H - 1)
+    both = rows.select("frame_no", "y", "x", F.posexplode(F.array(*scalars.ycocg("r", "g", "b"))).alias("channel", "v"))
+    return both
+
+
+LEVELS = 2
+
+
+def _bands(spark):
+    return wavelet.haar(_planes(spark), LEVELS, ["frame_no", "channel"])
+
+
+def _coefficients(spark):
+    return wavelet.quantized(_bands(spark), spark, W - 1, H - 1, LEVELS, 82)
+
+
+@query
+def haar_level1(spark, sf_dir):
+    return wavelet.lift(_planes(spark), "x", ["frame_no", "channel", "y"])
+
+
+@query
+def haar_pyramid(spark, sf_dir):
+    return _bands(spark)
+
+
+@query
+def haar_inverse_error(spark, sf_dir):
+    back = wavelet.unhaar(_bands(spark), LEVELS, ["frame_no", "channel"]).withColumnRenamed("v", "w")
+    return _planes(spark).join(back, ["frame_no", "channel", "y", "x"]).groupBy("frame_no", "channel").agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("error"), F.count("*").alias("n"))
+
+
+@query
+def band_layout(spark, sf_dir):
+    return wavelet.layout_table(spark, W - 1, H - 1, LEVELS)
+
+
+@query
+def band_quantize(spark, sf_dir):
+    return _coefficients(spark).select("frame_no", "band_index", "y", "x", "c")
+
+
+@query
+def band_router(spark, sf_dir):
+    rows = spark.range(24).select(F.col("id").cast("int").alias("frame_no"))
+    return wavelet.route(spark, rows, W - 1, H - 1, LEVELS, rotate_n=3, fold_n=6, channel_n=4, shift_n=5, shift=2)
+
+
+@query
+def packet_loss_conceal(spark, sf_dir):
+    rows = spark.range(24).select(F.col("id").cast("int").alias("frame_no"))
+    return wavelet.route(spark, rows, W - 1, H - 1, LEVELS, loss_n=5, lag=3, history_n=7, lowpass_lag=2)
+
+
+@query
+def bitplane_mutations(spark, sf_dir):
+    k = wavelet.ordinal(F.col("band_index"), F.col("frame_no"), F.col("y"), F.col("x"), F.col("w"))
+    return _coefficients(spark).select("frame_no", "band_index", "y", "x", wavelet.plane_edits(F.col("c"), k, clear=2, clear_n=3, flip=4, flip_n=11, negate_n=7).alias("c"))
+
+
+@query
+def rate_estimate(spark, sf_dir):
+    """Estimated bytes of each frame: runs of zeros and values as variable-length numbers, and headers."""
+    rows = _coefficients(spark).withColumn("place", F.col("y") * F.col("w") + F.col("x"))
+    by = Window.partitionBy("frame_no", "band_index").orderBy("place")
+    live = rows.filter("c <> 0").withColumn("run", F.col("place") - F.coalesce(F.lag("place").over(by), F.lit(-1)) - 1)
+    size = wavelet.varint_bytes(F.col("run")) + wavelet.varint_bytes(wavelet.folded_sign(F.col("c")))
+    return live.groupBy("frame_no").agg((F.sum(size) + 16 + 16 * 3 * (1 + 3 * LEVELS)).cast("long").alias("bytes"))
+
+
+# Line signal
+
+
+def _luma(spark):
+    return _ycbcr(spark).select("frame_no", "y", "x", "luma")
+
+
+@query
+def line_predictor_choice(spark, sf_dir):
+    return scanline.predictor_choice(_luma(spark))
+
+
+@query
+def temporal_line_residual(spark, sf_dir):
+    return scanline.temporal_residual(_luma(spark), 2)
+
+
+@query
+def field_scan_order(spark, sf_dir):
+    rows = spark.range(H).select(F.col("id").cast("int").alias("line"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(scanline.scan_order(F.col("line")))))
+
+
+@query
+def zero_rle_runs(spark, sf_dir):
+    return scanline.zero_runs(scanline.temporal_residual(_luma(spark), 16), ["frame_no", "y"])
+
+
+@query
+def zero_rle_bytes(spark, sf_dir):
+    return scanline.run_bytes(scanline.zero_runs(scanline.temporal_residual(_luma(spark), 16), ["frame_no", "y"]), ["frame_no", "y"])
+
+
+@query
+def text_zero_runs(spark, sf_dir):
+    """Runs of letters and of other characters in conversations, as zeros and values of a line."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "")).alias("x", "ch")).filter("ch <> ''")
+    return scanline.zero_runs(rows.withColumn("res", F.when(F.col("ch").rlike("^[a-z]$"), 0).otherwise(1)), ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(
+        F.count("*").alias("runs"), F.max("length").alias("longest"), F.sum(F.when(F.col("zero"), F.col("length")).otherwise(0)).alias("zeros")
+    )
+
+
+@query
+def chroma_phase_turn(spark, sf_dir):
+    phase = (F.col("frame_no") + F.col("y")) % 4
+    a, b = scanline.phase_turn(F.col("cb") - 128, F.col("cr") - 128, phase)
+    return _ycbcr(spark).select("frame_no", "y", "x", a.alias("a"), b.alias("b"))
+
+
+def _records(spark):
+    i = F.col("id")
+    return spark.range(6 * H).select(
+        F.floor(i / H).cast("int").alias("frame_no"), (i % H).cast("int").alias("record_index"), (i % H).cast("int").alias("line"),
+        (i % 8).cast("int").alias("flags"), F.lit(2).alias("quant"), F.lit(0).alias("timing"), ((i + F.floor(i / H)) % 4).cast("int").alias("phase"),
+    )
+
+
+@query
+def phase_walk(spark, sf_dir):
+    return scanline.phase_walk(_records(spark), 7, 1, 1).select("frame_no", "record_index", "walk", "phase")
+
+
+@query
+def line_record_edits(spark, sf_dir):
+    return scanline.record_edits(_records(spark), H, sync_n=9, predictor_n=8, swap_n=11, quant_n=5, quant=4, shift_n=6, shift=12, shift_drift=1, index_n=13, index=1, stride=1)
+
+
+def _edited(spark):
+    return scanline.record_edits(_records(spark), H, sync_n=9, index_n=5, index=3, stride=1).filter("NOT sync_lost")
+
+
+@query
+def line_concealment(spark, sf_dir):
+    return scanline.concealed(_records(spark).select("frame_no", "line"), _edited(spark))
+
+
+@query
+def line_last_writer(spark, sf_dir):
+    return scanline.last_writer(_edited(spark))
+
+
+# Units
+
+
+def _units(spark, sf_dir):
+    return units.from_events(table(spark, sf_dir, "events"))
+
+
+@query
+def unit_classify(spark, sf_dir):
+    return units.ordinals(_units(spark, sf_dir)).drop("payload")
+
+
+@query
+def keyframe_drop_recover(spark, sf_dir):
+    return units.drop_keyframes(_units(spark, sf_dir), 1, 3).drop("payload")
+
+
+@query
+def drop_every_nth(spark, sf_dir):
+    return units.drop_every(_units(spark, sf_dir), 3).drop("payload")
+
+
+@query
+def header_dedup(spark, sf_dir):
+    return units.first_headers(_units(spark, sf_dir), F.col("event_id") % 3).drop("payload")
+
+
+def _picture():
+    n = F.col("event_id") % 3
+    return F.when(F.col("kind") == "header", F.when(n == 0, "I").when(n == 1, "P").otherwise("B"))
+
+
+@query
+def picture_types(spark, sf_dir):
+    rows = units.carried(_units(spark, sf_dir).withColumn("picture", _picture()), F.col("picture"), "current")
+    return rows.select("stream_id", "seq", "kind", "current")
+
+
+@query
+def skip_until_next_picture(spark, sf_dir):
+    return units.skip_pictures(_units(spark, sf_dir), _picture(), 1, 4).select("stream_id", "seq", "kind", "picture", "i_no")
+
+
+@query
+def echo_repeat_units(spark, sf_dir):
+    return units.echo_and_repeat(_units(spark, sf_dir), 2, 1, 3, 2)
+
+
+@query
+def replace_with_previous(spark, sf_dir):
+    return units.replaced(_units(spark, sf_dir), 4).withColumn("payload", F.decode("payload", "UTF-8"))
+
+
+@query
+def donor_pick(spark, sf_dir):
+    rows = units.with_donor(_units(spark, sf_dir), units.donors(_units(spark, sf_dir), 1, 16))
+    return rows.select("stream_id", "seq", "slot", F.decode("donor", "UTF-8").alias("donor"))
+
+
+@query
+def slice_address_shift(spark, sf_dir):
+    a = F.col("event_id") % 175 + 1
+    return table(spark, sf_dir, "events").select("event_id", units.shifted_address(a, -7).alias("shifted"), units.address_dropped(a, 4, 6).alias("dropped"))
+
+
+def _pairs(spark, sf_dir):
+    rows = units.with_previous(_units(spark, sf_dir), 5)
+    return rows.filter("previous IS NOT NULL")
+
+
+def _payload_query(name, edit):
+    def run(spark, sf_dir):
+        seed = F.col("predicted_no")
+        return _pairs(spark, sf_dir).select("stream_id", "seq", F.decode(edit(F.col("payload"), F.col("previous"), seed), "UTF-8").alias("payload"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+_payload_query("payload_truncate", lambda p, o, s: units.truncated(p, 9))
+_payload_query("payload_splice", lambda p, o, s: units.spliced(p, o, s, 6))
+_payload_query("payload_grow", lambda p, o, s: units.grown(p, o, s, 5))
+_payload_query("payload_rotate", lambda p, o, s: units.rotated_window(p, s, 8))
+
+
+@query
+def mutation_stats(spark, sf_dir):
+    return units.mutation_counts(_units(spark, sf_dir), 5, 2, 3, 2)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("units"))
+    return block_dct_energy(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in QUERIES}
