@@ -25,3 +25,18 @@ def components(links: DataFrame) -> DataFrame:
         label = step.select("key", "root")
         if step.filter("moved").isEmpty():
             return label
+
+
+def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (key, root) of all links so far: those of ``comps`` joined up by ``links`` (a, b).
+
+    Links are first moved to the roots of their ends, so that the rounds see one key for each component.
+    """
+    if comps is None:
+        return components(links)
+    roots = lambda end: comps.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = links.join(roots("a"), "a", "left").join(roots("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    up = components(ends)
+    moved = comps.join(up.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+    fresh = up.join(comps.select("key"), "key", "left_anti")
+    return written(moved.unionByName(fresh))

@@ -7,9 +7,10 @@
    have one in common among their first ``n - ceil(percent * n) + 1`` (the prefix).
 3. n-grams are hashed into groups; the counts by group are a class's point. For two points the sum of coordinate
    minima bounds the overlap, and with a box's upper corner it bounds that with all points in the box.
-   First every class is paired with the smallest class of each of its prefix n-grams, if the bound allows, and the
-   pairs are verified. Then, for prefix n-grams whose classes are not yet in one component, an R-tree of those
-   classes' points is searched with each of them, passing over boxes within the own component.
+   First every class is paired with one other, the smallest that shares a prefix n-gram, if the bound allows, and
+   the pairs are verified; then, for prefix n-grams whose classes are not yet in one component, with the smallest of
+   another component. Last, for prefix n-grams still open, an R-tree of their classes' points is searched with each
+   of them, passing over boxes within the own component, so that no link between components is missed.
 4. What survives is verified on the sets themselves, and components of the links are the result.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm import counting
 from frameloom.llm.batches import flat, mix64, words
-from frameloom.llm.components import components
+from frameloom.llm.components import merged
 from frameloom.session import written
 
 GROUPS = 64
@@ -213,6 +214,13 @@ def _searched(left: DataFrame, percent: int) -> DataFrame:
     return left.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a binary, b binary")
 
 
+def _open(posts: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows (token, digest, comp) of n-grams whose classes are in more than one component."""
+    rooted = written(posts.join(comps.withColumnRenamed("key", "digest"), "digest", "left").select("token", "digest", F.coalesce("root", "digest").alias("comp")))
+    split = rooted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+    return rooted.join(split, "token")
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, block_bytes: int = 4 << 20) -> DataFrame:
     """A row for each row of ``docs``: doc_id, text_hash, n_shingles, digest, component_id.
 
@@ -228,17 +236,14 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes)
     posts = written(classes.select(F.explode("prefix").alias("token"), "digest"))
     first = posts.groupBy("token").agg(F.min("digest").alias("a"), F.count("*").alias("k")).filter("k > 1")
-    star = posts.join(first, "token").filter("a <> digest").select("a", F.col("digest").alias("b")).distinct()
-    links = _close(star, classes, percent)
-    comps = components(links)
-    rooted = posts.join(comps.withColumnRenamed("key", "digest"), "digest", "left").select("token", "digest", F.coalesce("root", "digest").alias("comp"))
-    rooted = written(rooted)
-    open_tokens = rooted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-    left = rooted.join(open_tokens, "token").join(classes.select("digest", "n", "point"), "digest").select("token", "digest", "n", "comp", "point")
-    more = _close(_searched(left, percent).distinct(), classes, percent)
-    if not more.isEmpty():
-        links = links.union(more)
-        comps = components(links)
+    star = posts.join(first, "token").filter("a <> digest").groupBy(F.col("digest").alias("b")).agg(F.min("a").alias("a"))
+    comps = merged(None, _close(star, classes, percent))
+    left = _open(posts, comps)
+    low = left.groupBy("token").agg(F.min(F.struct("comp", "digest")).alias("low"))
+    star = left.join(low, "token").filter("comp <> low.comp").select(F.col("low.digest").alias("a"), F.col("digest").alias("b")).distinct()
+    comps = merged(comps, _close(star, classes, percent))
+    left = _open(posts, comps).join(classes.select("digest", "n", "point"), "digest").select("token", "digest", "n", "comp", "point")
+    comps = merged(comps, _close(_searched(left, percent).distinct(), classes, percent))
     root = mine.filter("digest IS NOT NULL").join(comps.withColumnRenamed("key", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
     lowest = written(root.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     of_class = root.groupBy("digest").agg(F.first("root").alias("root")).join(lowest, "root").select("digest", "component_id")
