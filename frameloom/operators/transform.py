@@ -87,7 +87,7 @@ def dc_drift(dc: DataFrame, n: int, step: int, channel: int = 0, plane: tuple[st
     i = F.col("block_no") + 1
     trigger = F.floor(i / n)
     bit = F.shiftrightunsigned(u64.splitmix(trigger), channel).bitwiseAND(F.lit(1))
-    change = F.when(every(n, i), F.when(bit == 1, step).otherwise(-step)).otherwise(0)
+    change = F.when(every(n, i), F.when(bit == 0, step).otherwise(-step)).otherwise(0)
     total = F.sum(change).over(Window.partitionBy(*plane).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0))
     return dc.withColumn("drift", total.cast("int")).withColumn("dc", short(F.col("dc") + F.col("drift")))
 

@@ -119,7 +119,7 @@ def route(spark: SparkSession, frames: DataFrame, width: int, height: int, level
     ref = F.when((back > 0) & (F.col("frame_no") >= back), F.col("frame_no") - back).otherwise(F.col("frame_no"))
     source = F.col("band_index")
     for n, c in ((rotate_n, "turned"), (fold_n, "folded"), (channel_n, "crossed"), (shift_n, "moved")):
-        ref = F.when(hit(n) & F.col(c).isNotNull() & (F.lit(c != "turned") | ~flat), F.col("frame_no")).otherwise(ref)
+        ref = F.when(hit(n) & F.col(c).isNotNull(), F.col("frame_no")).otherwise(ref)
         source = F.when(hit(n) & F.col(c).isNotNull(), F.col(c)).otherwise(source)
     lost = hit(loss_n)
     can = F.lit(conceal) & (F.col("frame_no") >= max(1, lag))

@@ -224,7 +224,7 @@ SELECT l_orderkey, l_linenumber, (h >> 40)::DOUBLE / 16777216 < 0.12::DOUBLE + 0
     "dc_block_offset": f"{TO_Q} SELECT block, CASE WHEN (block + 1) % 5 = 0 THEN c + 24 ELSE c END AS c FROM qnt WHERE zz = 0",
     "dc_drift_running": f"""{TO_Q}, {DCS}, trig AS (SELECT t::BIGINT AS t FROM range(1, 4000) r(t)),
 {mixed("trig", "t", summed("t::UHUGEINT", f"{u64.GOLDEN}::UHUGEINT"))},
-d AS (SELECT plane, block_no, dc, sum(CASE WHEN h IS NULL THEN 0 WHEN h % 2 = 1 THEN 12 ELSE -12 END) OVER (PARTITION BY plane ORDER BY block_no ROWS UNBOUNDED PRECEDING)::INT AS drift
+d AS (SELECT plane, block_no, dc, sum(CASE WHEN h IS NULL THEN 0 WHEN h % 2 = 0 THEN 12 ELSE -12 END) OVER (PARTITION BY plane ORDER BY block_no ROWS UNBOUNDED PRECEDING)::INT AS drift
   FROM dcs LEFT JOIN m5 ON (block_no + 1) % 6 = 0 AND t = (block_no + 1) // 6)
 SELECT plane, block_no, dc + drift AS dc, drift FROM d""",
     "block_shift_repeat": """SELECT i::INT AS block_no, CASE WHEN (i + 1) % 4 = 0 THEN ((i // 20 + 1) % 20) * 20 + (i % 20 + 3) % 20 WHEN (i + 1) % 5 = 0 THEN i - 1 ELSE i END::INT AS source_no FROM range(400) t(i)""",
