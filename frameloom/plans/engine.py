@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from frameloom.operators.motion_codec import MotionCodec
 from frameloom.operators.transform_codec import TransformCodec
 from frameloom.operators.wavelet_codec import WaveletCodec
 from frameloom.plans import params as P
 
-CODECS = {"transform": TransformCodec, "wavelet": WaveletCodec}
+CODECS = {"motion": MotionCodec, "transform": TransformCodec, "wavelet": WaveletCodec}
 BACKENDS = {1: "motion", 2: "scanline", 3: "transform", 4: "wavelet"}
 
 
@@ -41,7 +42,9 @@ class Engine:
         return P.under_controls(self.backend, self.params, self.controls)
 
     def codec(self):
-        return CODECS[self.backend](self.width, self.height, **self.config, **{k: v for k, v in self.effective().items() if not k.startswith("cfg.")})
+        found = self.effective()
+        settings = {k[4:]: v for k, v in found.items() if k.startswith("cfg.")}
+        return CODECS[self.backend](self.width, self.height, **{**settings, **self.config}, **{k: v for k, v in found.items() if not k.startswith("cfg.")})
 
     def process(self, frames: DataFrame) -> DataFrame:
         """Frames (stream_id, frame_no, pixels[, reset]) to (stream_id, frame_no, pixels); rgb or rgba, whose alpha
