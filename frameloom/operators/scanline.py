@@ -55,11 +55,11 @@ def phase_turn(cb: Column, cr: Column, phase: Column) -> tuple[Column, Column]:
 
 
 def phase_walk(records: DataFrame, burst_n: int, offset: int, drift: int) -> DataFrame:
-    """Phase bits of records (frame_no, record_index, phase): a walk that turns at each lost burst, an offset and a
+    """Phase bits of records (frame_no, record_index, phase): a step at each lost burst by the parity of frame and record, an offset and a
     drift by index, modulo 4."""
     k = F.col("record_index") + 1
     hit = every(burst_n, k)
-    step = F.when(hit, F.when(F.floor(k / max(1, burst_n)) % 2 == 1, 1).otherwise(-1)).otherwise(0)
+    step = F.when(hit, F.when((F.col("frame_no") + k) % 2 == 0, 1).otherwise(-1)).otherwise(0)
     walk = F.sum(step).over(Window.partitionBy("frame_no").orderBy("record_index").rowsBetween(Window.unboundedPreceding, 0))
     return records.withColumn("walk", walk.cast("int")).withColumn("phase", F.pmod(F.col("phase") + F.col("walk") + offset + drift * F.col("record_index"), F.lit(4)).cast("int"))
 

@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from frameloom.operators.motion_codec import MotionCodec
+from frameloom.operators.scanline_codec import ScanlineCodec
 from frameloom.operators.transform_codec import TransformCodec
 from frameloom.operators.wavelet_codec import WaveletCodec
 from frameloom.plans import params as P
 
-CODECS = {"motion": MotionCodec, "transform": TransformCodec, "wavelet": WaveletCodec}
+CODECS = {"motion": MotionCodec, "scanline": ScanlineCodec, "transform": TransformCodec, "wavelet": WaveletCodec}
 BACKENDS = {1: "motion", 2: "scanline", 3: "transform", 4: "wavelet"}
 
 

@@ -269,7 +269,7 @@ SELECT conv_id, turn, count(*) AS runs, max(length) AS longest, sum(CASE WHEN ze
     "chroma_phase_turn": f"""WITH {FR}, {YC}, p AS (SELECT frame_no, y, x, cb - 128 AS cb, cr - 128 AS cr, (frame_no + y) % 4 AS ph FROM yc)
 SELECT frame_no, y, x, CASE ph WHEN 0 THEN cb WHEN 1 THEN cr WHEN 2 THEN least(127, -cb) ELSE least(127, -cr) END AS a,
   CASE ph WHEN 0 THEN cr WHEN 1 THEN least(127, -cb) WHEN 2 THEN least(127, -cr) ELSE cb END AS b FROM p""",
-    "phase_walk": f"""WITH {REC}, w AS (SELECT *, sum(CASE WHEN (record_index + 1) % 7 <> 0 THEN 0 WHEN ((record_index + 1) // 7) % 2 = 1 THEN 1 ELSE -1 END)
+    "phase_walk": f"""WITH {REC}, w AS (SELECT *, sum(CASE WHEN (record_index + 1) % 7 <> 0 THEN 0 WHEN (frame_no + record_index + 1) % 2 = 0 THEN 1 ELSE -1 END)
   OVER (PARTITION BY frame_no ORDER BY record_index ROWS UNBOUNDED PRECEDING)::INT AS walk FROM rec)
 SELECT frame_no, record_index, walk, ((phase + walk + 1 + record_index) % 4 + 4) % 4 AS phase FROM w""",
     "line_record_edits": f"""WITH {REC}, k AS (SELECT *, record_index + 1 AS k FROM rec)

@@ -75,6 +75,21 @@ CONTROLLED = {
         ("bitstream", "after_one", "bs.coeff_quant"),
         ("bitstream", "i32", "bs.codebook_stride"),
     ),
+    "scanline": (
+        ("motion", "i16", "line_shift line_shift_drift line_index_offset line_index_stride"),
+        ("motion", "period", "line_shift_every line_index_every"),
+        ("residual", "i8", "quant_offset chroma_group_delta phase_offset phase_drift chroma_sequence_offset"),
+        ("residual", "period", "quant_offset_every carrier_sign_flip_every burst_loss_every chroma_sequence_every chroma_seed_loss_every chroma_xor_every chroma_payload_slip_every"),
+        ("residual", "u8", "chroma_xor_mask"),
+        ("residual", "i16", "chroma_payload_slip"),
+        ("temporal", "after_one", "predictor_lag"),
+        ("temporal", "period", "predictor_flip_every predictor_line_offset_every history_line_weave_every"),
+        ("temporal", "i16", "predictor_line_offset"),
+        ("temporal", "size", "history_line_weave"),
+        ("bitstream", "period", "sync_loss_every field_sync_loss_every field_parity_flip_every luma_payload_slip_every luma_run_delta_every packet_length_delta_every payload_swap_every"),
+        ("bitstream", "i16", "luma_payload_slip packet_length_delta"),
+        ("bitstream", "i8", "luma_run_delta"),
+    ),
     "transform": (
         ("bitstream", "factor_up", "quant_scale"),
         ("bitstream", "cutoff", "ac_zero_above"),
