@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import scalars, u64
-from frameloom.operators import entropy, motion, scanline, transform, units, wavelet
-from frameloom.plans import oracle
+from frameloom.operators import controls, entropy, motion, scanline, transform, unit_filter, units, wavelet
+from frameloom.plans import oracle, params
+from frameloom.plans.engine import Engine
+from frameloom.session import shared_folder, ship_package
 from frameloom.sources import frames
 
 W, H, N = oracle.WIDTH, oracle.HEIGHT, oracle.FRAMES
@@ -609,6 +611,104 @@ def mutation_stats(spark, sf_dir):
     return units.mutation_counts(_units(spark, sf_dir), 5, 2, 3, 2)
 
 
+# Controls
+
+
+@query
+def control_messages(spark, sf_dir):
+    texts = ["preset melt\nset mv_scale 1.5", "# note\n\nresidual_keep = 0.25\nping", "controls 1 0.5 0.5\nreset-controls\nresetcodec", "set mv_scale much\nwhat is this\nx=y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "frame_no int, message string")
+    return controls.messages(rows)
+
+
+def _signal(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("at"), F.col("value").alias("sample"), "event_type")
+
+
+@query
+def control_latest_sample(spark, sf_dir):
+    rows = _signal(spark, sf_dir)
+    ticks, samples = rows.filter("event_type = 'view'").select("user_id", "at"), rows.filter("event_type = 'click'")
+    out = controls.latest(ticks, samples, ("user_id",))
+    return out.select("user_id", "at", F.round(controls.mapped(1.0, F.col("sample") / 100, 0.5, 1.5, 0.1), 6).alias("control"))
+
+
+@query
+def reset_hysteresis(spark, sf_dir):
+    rows = _signal(spark, sf_dir).groupBy("user_id", "at").agg(F.max("sample").alias("sample"))
+    return controls.resets(rows, ("user_id",), "sample", 60.0, 20.0).select("user_id", "at", "fires")
+
+
+@query
+def preset_catalogue(spark, sf_dir):
+    return params.preset_table(spark)
+
+
+@query
+def parameter_catalogue(spark, sf_dir):
+    return params.parameter_table(spark)
+
+
+# Folds over streams: no SQL expresses them; their tests hold known bytes, round trips and bounds
+
+
+def _codec_query(backend, preset):
+    def run(spark, sf_dir):
+        ship_package(spark)
+        packed = frames.assemble_frames(bars(spark).withColumn("stream_id", F.explode(F.array(F.lit("a"), F.lit("b")))), ("stream_id", "frame_no"))
+        out = Engine(backend, W, H).set_preset(preset).process(packed)
+        return out.select("stream_id", "frame_no", F.sha2("pixels", 256).alias("digest"), F.length("pixels").alias("bytes"))
+
+    run.__name__ = f"codec_{backend}"
+    QUERIES[run.__name__] = run
+
+
+for _backend, _preset in (("motion", "melt"), ("scanline", "composite"), ("transform", "destroy"), ("wavelet", "hierarchy-collapse")):
+    _codec_query(_backend, _preset)
+
+
+def _chunks(spark, sf_dir):
+    rows = _units(spark, sf_dir)
+    code = F.when(F.col("kind") == "header", F.lit("0000000167")).when(F.col("kind") == "key", F.lit("00000165")).otherwise(F.lit("0000000141"))
+    return rows.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").alias("chunk_no"), F.concat(F.unhex(code), "payload").alias("bytes"))
+
+
+RULES = {"recover_every": 3, "drop_slice_every": 7, "splice_slice_every": 3, "xor_slice_every": 5, "echo_slice_every": 4, "truncate_slice_every": 6}
+
+
+@query
+def unit_filter_stream(spark, sf_dir):
+    ship_package(spark)
+    out = unit_filter.filter_streams(_chunks(spark, sf_dir), **RULES)
+    return out.select("stream_id", "seq", F.sha2("data", 256).alias("digest"))
+
+
+@query
+def unit_filter_counters(spark, sf_dir):
+    ship_package(spark)
+    return unit_filter.stream_counters(_chunks(spark, sf_dir), **RULES)
+
+
+@query
+def stateful_stream_replay(spark, sf_dir):
+    """The unit filter as a stream over files of chunks, run to the end of its input."""
+    from uuid import uuid4
+
+    from frameloom.streaming.units import filter_stream
+
+    ship_package(spark)
+    folder = f"{shared_folder(spark)}/replay-{uuid4().hex}"
+    chunks = _chunks(spark, sf_dir)
+    last = chunks.groupBy("stream_id").agg(F.max("chunk_no").alias("end"))
+    chunks = chunks.join(last, "stream_id").withColumn("last", F.col("chunk_no") == F.col("end")).drop("end")
+    chunks.repartition(1).sortWithinPartitions("chunk_no").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(chunks.schema).parquet(f"{folder}/in")
+    out = filter_stream(stream, **RULES)
+    run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select("stream_id", "seq", F.sha2("data", 256).alias("digest"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dct_energy(spark, sf_dir)
 
