@@ -318,8 +318,8 @@ SQL |= {
     "control_latest_sample": """WITH c AS (SELECT user_id, ts, max(value) AS sample FROM events WHERE event_type = 'click' GROUP BY ALL)
 SELECT v.user_id, v.ts AS at, round(least(2.0, greatest(0.0, least(8.0, 0.5::DOUBLE + (c.sample / 100 * 1.5::DOUBLE + 0.1::DOUBLE) * 0.5::DOUBLE))), 6) AS control
 FROM (SELECT user_id, ts FROM events WHERE event_type = 'view') v ASOF LEFT JOIN c ON c.user_id = v.user_id AND c.ts <= v.ts""",
-    "reset_hysteresis": """WITH e AS (SELECT user_id, ts AS at, max(value) AS v FROM events GROUP BY ALL),
+    "reset_hysteresis": """WITH e AS (SELECT user_id, ts, max(value) AS v FROM events GROUP BY ALL),
 s AS (SELECT *, CASE WHEN v >= 60 THEN 1 WHEN v <= 20 THEN 0 END AS s FROM e),
-b AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s)
-SELECT user_id, at, coalesce(s = 1 AND coalesce(p, 0) = 0, false) AS fires FROM b""",
+b AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s)
+SELECT user_id, ts AS "at", coalesce(s = 1 AND coalesce(p, 0) = 0, false) AS fires FROM b""",
 }
