@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from frameloom.functions import scalars, u64
 from frameloom.operators import controls, entropy, motion, scanline, transform, unit_filter, units, wavelet
 from frameloom.plans import oracle, params
-from frameloom.plans.engine import Engine
+from frameloom.plans.engine import Engine, fold_frames
 from frameloom.session import shared_folder, ship_package
 from frameloom.sources import frames
 
@@ -667,6 +667,20 @@ for _backend, _preset in (("motion", "melt"), ("scanline", "composite"), ("trans
     _codec_query(_backend, _preset)
 
 
+@query
+def codec_patterns(spark, sf_dir):
+    """Every pattern of the second motion codec, a stream each."""
+    from frameloom.operators.pattern_codec import PATTERNS, PatternCodec
+
+    ship_package(spark)
+    packed = frames.assemble_frames(bars(spark)).withColumn("stream_id", F.lit("bars"))
+    outs = [fold_frames(packed, lambda name=name: PatternCodec(W, H, name), W, H).withColumn("pattern", F.lit(name)) for name in PATTERNS]
+    whole = outs[0]
+    for out in outs[1:]:
+        whole = whole.unionByName(out)
+    return whole.select("pattern", "frame_no", F.sha2("pixels", 256).alias("digest"))
+
+
 def _chunks(spark, sf_dir):
     rows = _units(spark, sf_dir)
     code = F.when(F.col("kind") == "header", F.lit("0000000167")).when(F.col("kind") == "key", F.lit("00000165")).otherwise(F.lit("0000000141"))

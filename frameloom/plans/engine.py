@@ -48,25 +48,30 @@ class Engine:
         return CODECS[self.backend](self.width, self.height, **{**settings, **self.config}, **{k: v for k, v in found.items() if not k.startswith("cfg.")})
 
     def process(self, frames: DataFrame) -> DataFrame:
-        """Frames (stream_id, frame_no, pixels[, reset]) to (stream_id, frame_no, pixels); rgb or rgba, whose alpha
-        passes through. A frame of another size is an error. Streams are the unit of parallel work."""
-        codec, w, h = self.codec, self.width, self.height
-        has_reset = "reset" in frames.columns
-
-        def fold(rows: pd.DataFrame) -> pd.DataFrame:
-            state, out = codec(), []
-            rows = rows.sort_values("frame_no")
-            for r in rows.itertuples():
-                if has_reset and r.reset:
-                    state.reset()
-                raw = np.frombuffer(bytes(r.pixels), np.uint8)
-                if len(raw) not in (w * h * 3, w * h * 4):
-                    raise ValueError(f"frame {r.frame_no} has {len(raw)} bytes, not {w * h * 3} or {w * h * 4}")
-                frame = raw.reshape(h, w, -1)
-                made = state.process(frame[..., :3].copy())
-                out.append(np.concatenate([made, frame[..., 3:]], axis=-1).tobytes())
-            return pd.DataFrame({"stream_id": rows["stream_id"], "frame_no": rows["frame_no"], "pixels": out})
-
-        kind = frames.schema["stream_id"].dataType.simpleString()
-        columns = ["stream_id", "frame_no", "pixels", *(["reset"] if has_reset else [])]
-        return frames.select(*columns).groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, frame_no long, pixels binary")
+        return fold_frames(frames, self.codec, self.width, self.height)
+
+
+def fold_frames(frames: DataFrame, codec, width: int, height: int) -> DataFrame:
+    """Frames (stream_id, frame_no, pixels[, reset]) to (stream_id, frame_no, pixels); rgb or rgba, whose alpha
+    passes through. ``codec`` makes a fresh codec for a stream. A frame of another size is an error. Streams are the
+    unit of parallel work."""
+    w, h = width, height
+    has_reset = "reset" in frames.columns
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = codec(), []
+        rows = rows.sort_values("frame_no")
+        for r in rows.itertuples():
+            if has_reset and r.reset:
+                state.reset()
+            raw = np.frombuffer(bytes(r.pixels), np.uint8)
+            if len(raw) not in (w * h * 3, w * h * 4):
+                raise ValueError(f"frame {r.frame_no} has {len(raw)} bytes, not {w * h * 3} or {w * h * 4}")
+            frame = raw.reshape(h, w, -1)
+            made = state.process(frame[..., :3].copy())
+            out.append(np.concatenate([made, frame[..., 3:]], axis=-1).tobytes())
+        return pd.DataFrame({"stream_id": rows["stream_id"], "frame_no": rows["frame_no"], "pixels": out})
+
+    kind = frames.schema["stream_id"].dataType.simpleString()
+    columns = ["stream_id", "frame_no", "pixels", *(["reset"] if has_reset else [])]
+    return frames.select(*columns).groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, frame_no long, pixels binary")
