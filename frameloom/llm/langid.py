@@ -144,7 +144,8 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 400, windows_per_row: int = 6, window: int = 256, max_langs: int = 500, seed: int = 1) -> Model | None:
     """Train on a bounded sample: about ``rows_per_lang`` rows of each language, ``windows_per_row`` windows of each.
 
-    Rows are taken by a hash of their text, windows evenly from the whole text. Rows without text or language
+    Rows are taken by a hash of their text, windows evenly from the whole text, and equal windows count once, so a
+    text with many copies adds no more than one of them. Rows without text or language
     teach nothing; without any labelled row there is no model (None). More than ``max_langs`` languages is an error.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -170,7 +171,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
                     out.append(piece.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_lang, pa.string()), pa.array(out, pa.binary())], ["lang", "piece"])
 
-    got = sorted((r.lang, bytes(r.piece)) for r in picked.mapInArrow(cut, "lang string, piece binary").collect())
+    got = sorted((r.lang, bytes(r.piece)) for r in picked.mapInArrow(cut, "lang string, piece binary").distinct().collect())
     if not got:
         return None
     langs = sorted(counts)
