@@ -65,3 +65,9 @@ def written(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     with dropping_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete what ``written`` has left in the shared folder for this application; frames that read it end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/frameloom-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
