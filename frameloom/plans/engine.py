@@ -51,6 +51,24 @@ class Engine:
         return fold_frames(frames, self.codec, self.width, self.height)
 
 
+    def stats(self, frames: DataFrame) -> DataFrame:
+        """The counters (stream_id, counter, value) of the same run, with those that all backends have: frames_in,
+        keyframes, predicted, blocks_encoded. Codecs without prediction count every frame as a keyframe."""
+        codec, w, h = self.codec, self.width, self.height
+
+        def fold(rows: pd.DataFrame) -> pd.DataFrame:
+            state = codec()
+            for r in rows.sort_values("frame_no").itertuples():
+                state.process(np.frombuffer(bytes(r.pixels), np.uint8).reshape(h, w, -1)[..., :3].copy())
+            counts = dict(state.counts)
+            counts.setdefault("keyframes", counts.get("frames_in", 0))
+            counts.setdefault("predicted", 0)
+            return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "counter": sorted(counts), "value": [int(counts[k]) for k in sorted(counts)]})
+
+        kind = frames.schema["stream_id"].dataType.simpleString()
+        return frames.select("stream_id", "frame_no", "pixels").groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, counter string, value long")
+
+
 def fold_frames(frames: DataFrame, codec, width: int, height: int) -> DataFrame:
     """Frames (stream_id, frame_no, pixels[, reset]) to (stream_id, frame_no, pixels); rgb or rgba, whose alpha
     passes through. ``codec`` makes a fresh codec for a stream. A frame of another size is an error. Streams are the

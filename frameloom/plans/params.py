@@ -161,12 +161,92 @@ def has_mutations(bitstream: dict) -> bool:
     return any(bitstream[p] and (not amounts or any(bitstream[a] for a in amounts)) for p, *amounts in LIVE)
 
 
+#: The ranges of the motion codec's setters; of cfg.* the codec is rebuilt.
+MOTION_RANGES = {
+    "mv_scale": (0.0, 2.0), "mv_jitter": (0, 16), "mv_field_interpolation": (0.0, 1.0), "sample_address_desync": (0.0, 4.0),
+    "mv_bank_stride": (-64, 64), "reference_lag": (1, 32), "reference_bleed": (0.0, 1.0), "reference_latch_frames": (1, 64),
+    "temporal_slice_drift": (-16, 16), "reference_channel_lag_span": (0, 32), "residual_keep": (-2.0, 2.0), "residual_address_jitter": (0, 32),
+    "residual_channel_shift": (-4, 4), "residual_bank_stride": (-64, 64), "entropy_slip_every": (0, 64), "entropy_slip_windows": (0, 64),
+    "entropy_resync_bytes": (0, 65536), "coeff_shift": (-32, 32), "coeff_quant": (1, 64), "codebook_replace_every": (0, 64),
+    "codebook_stride": (-128, 128), "codebook_shuffle_every": (0, 64), "block_size": (4, 64), "search_radius": (0, 64), "search_step": (1, 16),
+}
+#: The ranges of the line codec's amounts; periods go from 0 to 512.
+SCANLINE_RANGES = {
+    "line_shift": (-256, 256), "line_shift_drift": (-256, 256), "line_index_offset": (-256, 256), "line_index_stride": (-64, 64),
+    "phase_offset": (-16, 16), "phase_drift": (-16, 16), "predictor_lag": (1, 64), "predictor_line_offset": (-256, 256),
+    "quant_offset": (-64, 64), "luma_payload_slip": (-256, 256), "chroma_payload_slip": (-256, 256), "chroma_group_delta": (-6, 6),
+    "chroma_sequence_offset": (-4, 4), "chroma_xor_mask": (0, 255), "luma_run_delta": (-127, 127), "packet_length_delta": (-1024, 1024),
+    "history_line_weave": (0, 64),
+}
+#: The period that an amount of the line codec arms when it is off.
+ARMS = {
+    "line_shift": "line_shift_every", "line_shift_drift": "line_shift_every", "line_index_offset": "line_index_every", "line_index_stride": "line_index_every",
+    "predictor_line_offset": "predictor_line_offset_every", "quant_offset": "quant_offset_every", "luma_payload_slip": "luma_payload_slip_every",
+    "chroma_payload_slip": "chroma_payload_slip_every", "chroma_sequence_offset": "chroma_sequence_every", "luma_run_delta": "luma_run_delta_every",
+    "packet_length_delta": "packet_length_delta_every", "history_line_weave": "history_line_weave_every",
+}
+#: Parameters of the motion codec that steer the line codec: what they set, how the value is made, and the period they
+#: set: "off" arms it if it was off, a number sets it, None leaves it.
+ALIASES = {
+    "mv_jitter": ("line_shift", None, "off"), "temporal_slice_drift": ("line_index_offset", None, "off"), "codebook_shuffle_every": ("line_index_every", None, None),
+    "residual_channel_shift": ("phase_offset", None, None), "mv_field_interpolation": ("phase_drift", None, None), "reference_lag": ("predictor_lag", None, None),
+    "coeff_shift": ("quant_offset", None, "off"), "sample_address_desync": ("luma_payload_slip", None, "off"), "residual_address_jitter": ("luma_payload_slip", None, "off"),
+    "entropy_slip_every": ("luma_payload_slip_every", None, None), "codebook_stride": ("history_line_weave", abs, "live"), "codebook_replace_every": ("history_line_weave_every", None, None),
+    "mv_scale": ("line_shift", lambda v: (v - 1) * 32, "live"), "reference_bleed": ("history_line_weave", lambda v: min(max(v, 0.0), 1.0) * 8, 3),
+    "reference_latch_frames": ("history_line_weave", None, 1), "residual_keep": ("quant_offset", lambda v: (v - 1) * 8, 1),
+    "entropy_slip_windows": ("luma_payload_slip", None, None), "coeff_quant": ("quant_offset", None, 1),
+}
+
+
+def _fitted(value: float, low, high):
+    held = min(max(value, low), high)
+    return held if isinstance(low, float) else min(max(rounded(value), low), high)
+
+
+def _with_motion(params: dict, name: str, value: float) -> dict:
+    if name == "bitstream_enabled":
+        return {**params, "bs.enabled": value >= 0.5}
+    fitted = _fitted(value, *MOTION_RANGES[name])
+    if name == "mv_scale":
+        out = {**params, "mv_scale_x": fitted, "mv_scale_y": fitted}
+    else:
+        key = f"cfg.{name}" if name in ("block_size", "search_radius", "search_step") else name if name in params else f"bs.{name}"
+        out = {**params, key: fitted}
+    live = has_mutations({k[3:]: v for k, v in out.items() if k.startswith("bs.")})
+    return {**out, "bs.enabled": out["bs.enabled"] or live}
+
+
+def _with_scanline(params: dict, name: str, value: float) -> dict:
+    own = name in params
+    target, make, arm = (name, abs if name == "history_line_weave" else None, "live" if name == "history_line_weave" else "off") if own else ALIASES[name]
+    value = make(value) if make else value
+    if target.endswith("_every"):
+        return {**params, target: min(max(rounded(value), 0), 512)}
+    fitted = _fitted(value, *SCANLINE_RANGES[target])
+    out = {**params, target: fitted}
+    period = ARMS.get(target)
+    if period and arm is not None:
+        if isinstance(arm, int):
+            out[period] = arm
+        elif out[period] == 0 and (arm == "off" or fitted):
+            out[period] = 1
+    return out
+
+
 def with_parameter(backend: str, params: dict, name: str, value: float) -> dict:
-    """One parameter set, rounded to its default's type; a value that is not finite counts as 0."""
+    """One parameter set, held to its range and rounded; a value that is not finite counts as 0.
+
+    The motion codec's named setters have ranges and switch the bitstream on when a mutation is live. The line codec
+    also takes names of the motion codec, and an amount arms its period. Other parameters take their default's type.
+    """
+    value = value if math.isfinite(value) else 0.0
+    if backend == "motion" and (name in MOTION_RANGES or name == "bitstream_enabled"):
+        return _with_motion(params, name, value)
+    if backend == "scanline" and (name in params or name in ALIASES):
+        return _with_scanline(params, name, value)
     known = name if name in params else f"bs.{name}"
     if known not in params:
         raise ValueError(f"no parameter {name!r}; there are {', '.join(params)}")
-    value = value if math.isfinite(value) else 0.0
     default = DEFAULTS[backend].get(known, params[known])
     if isinstance(default, bool):
         made = value >= 0.5

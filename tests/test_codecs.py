@@ -94,6 +94,25 @@ def test_controls():
     assert P.preset("motion", "pixel-melt") == P.preset("motion", "pixel")
 
 
+def test_setters():
+    m = P.preset("motion", "clean")
+    m = P.with_parameter("motion", m, "mv_scale", 9)
+    assert m["mv_scale_x"] == m["mv_scale_y"] == 2.0 and not m["bs.enabled"]
+    m = P.with_parameter("motion", m, "entropy_slip_every", 2.5)
+    assert m["bs.entropy_slip_every"] == 3 and m["bs.enabled"]
+    assert P.with_parameter("motion", m, "bitstream_enabled", 0)["bs.enabled"] is False
+    assert P.with_parameter("motion", m, "block_size", 1)["cfg.block_size"] == 4
+    s = P.preset("scanline", "clean")
+    shifted = P.with_parameter("scanline", s, "mv_scale", 1.25)
+    assert shifted["line_shift"] == 8 and shifted["line_shift_every"] == 1
+    assert P.with_parameter("scanline", s, "mv_scale", 1.0)["line_shift_every"] == 0
+    woven = P.with_parameter("scanline", s, "reference_bleed", 0.5)
+    assert woven["history_line_weave"] == 4 and woven["history_line_weave_every"] == 3
+    assert P.with_parameter("scanline", s, "quant_offset", 500)["quant_offset"] == 64
+    with pytest.raises(ValueError, match="no parameter"):
+        P.with_parameter("scanline", s, "nonsense", 1)
+
+
 def test_engine_on_streams(spark):
     rows = [(f"s{s}", f, bytes(np.dstack([ramp(32, 24, f + s), np.full((24, 32), 7, np.uint8)]).tobytes()), s == 1 and f == 3) for s in range(3) for f in range(6)]
     frames = spark.createDataFrame(rows, "stream_id string, frame_no long, pixels binary, reset boolean").repartition(4)
@@ -105,4 +124,6 @@ def test_engine_on_streams(spark):
             if s == 1 and f == 3:
                 codec.reset()
             assert (out[f"s{s}", f][..., :3] == codec.process(ramp(32, 24, f + s))).all() and (out[f"s{s}", f][..., 3] == 7).all()
+    stats = {(r.stream_id, r.counter): r.value for r in engine.stats(frames).collect()}
+    assert stats["s0", "frames_in"] == 6 and stats["s0", "keyframes"] == 6 and stats["s0", "blocks_encoded"] == 6 * 30
     assert P.preset_table(spark).count() > 100 and P.parameter_table(spark).count() > 100
