@@ -121,9 +121,7 @@ class MotionCodec:
             raise ValueError("width, height, block_size, search_step and history_len are at least 1")
         self.width, self.height, self.size, self.radius, self.step = width, height, block_size, max(0, search_radius), search_step
         self.interval, self.depth, self.feedback = keyframe_interval, history_len, feedback
-        p = {**self.defaults, **params}
-        self.p = {k: v for k, v in p.items() if not k.startswith("bs.")}
-        self.bs = {k[3:]: v for k, v in p.items() if k.startswith("bs.")}
+        self.tune({**self.defaults, **params})
         self.counts = Counter()
         self.last = np.zeros((height, width, 3), np.uint8)
         self.reset()
@@ -132,6 +130,11 @@ class MotionCodec:
         x, y = x.ravel(), y.ravel()
         self.grid = np.stack([x, y, np.minimum(block_size, width - x), np.minimum(block_size, height - y), 0 * x, 0 * x], axis=1).astype(np.int64)
 
+    def tune(self, params: dict) -> None:
+        """Other parameters from the next frame on; the state stays."""
+        self.p = {k: v for k, v in params.items() if not k.startswith("bs.")}
+        self.bs = {k[3:]: v for k, v in params.items() if k.startswith("bs.")}
+
     def reset(self) -> None:
         """Rings and codebook go; the count of frames goes on."""
         self.clean: deque = deque(maxlen=self.depth)

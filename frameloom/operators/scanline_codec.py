@@ -175,6 +175,10 @@ class ScanlineCodec:
         self.counts = Counter()
         self.reset()
 
+    def tune(self, params: dict) -> None:
+        """Other parameters from the next frame on; the state stays."""
+        self.p = dict(params)
+
     def reset(self) -> None:
         """Rings and receiver start anew; the count of frames goes on."""
         self.clean: deque = deque(maxlen=self.depth)

@@ -56,6 +56,10 @@ class TransformCodec:
         self.params = {**self.defaults, **params}
         self.reset()
 
+    def tune(self, params: dict) -> None:
+        """Other parameters from the next frame on; the state stays."""
+        self.params = dict(params)
+
     def reset(self) -> None:
         self.feedback, self.counts = None, Counter()
 

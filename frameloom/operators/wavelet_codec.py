@@ -69,6 +69,10 @@ class WaveletCodec:
         self.history_len, self.counts = history_len, Counter()
         self.reset()
 
+    def tune(self, params: dict) -> None:
+        """Other parameters from the next frame on; the state stays."""
+        self.params = dict(params)
+
     def reset(self) -> None:
         self.history: deque = deque(maxlen=self.history_len)
         self.frame_index = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,7 +50,14 @@ class Engine:
         return CODECS[self.backend](self.width, self.height, **{**settings, **self.config}, **{k: v for k, v in found.items() if not k.startswith("cfg.")})
 
     def process(self, frames: DataFrame) -> DataFrame:
-        return fold_frames(frames, self.codec, self.width, self.height)
+        """Frames with any of the control columns (intensity, motion, residual, temporal, bitstream) follow them; where
+        a column is missing or null the engine's own control holds."""
+        return fold_frames(frames, self.codec, self.width, self.height, self.tuned)
+
+    def tuned(self, values: dict) -> dict:
+        """Parameters under controls given for one frame."""
+        found = P.under_controls(self.backend, self.params, replace(self.controls, **values))
+        return {k: v for k, v in found.items() if not k.startswith("cfg.")}
 
 
     def stats(self, frames: DataFrame) -> DataFrame:
@@ -69,27 +78,37 @@ class Engine:
         return frames.select("stream_id", "frame_no", "pixels").groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, counter string, value long")
 
 
-def fold_frames(frames: DataFrame, codec, width: int, height: int) -> DataFrame:
-    """Frames (stream_id, frame_no, pixels[, reset]) to (stream_id, frame_no, pixels); rgb or rgba, whose alpha
-    passes through. ``codec`` makes a fresh codec for a stream. A frame of another size is an error. Streams are the
-    unit of parallel work."""
-    w, h = width, height
-    has_reset = "reset" in frames.columns
+CONTROLS = tuple(P.Controls.__dataclass_fields__)
+
+
+def one_frame(state, row, width: int, height: int, tuned=None) -> bytes:
+    """The next frame of a stream: reset and controls of its row first, then the codec; alpha passes through."""
+    if getattr(row, "reset", None):
+        state.reset()
+    if tuned:
+        given = {c: float(v) for c in CONTROLS if (v := getattr(row, c, None)) is not None and not pd.isna(v)}
+        if given or hasattr(row, "intensity"):
+            state.tune(tuned(given))
+    raw = np.frombuffer(bytes(row.pixels), np.uint8)
+    if len(raw) not in (width * height * 3, width * height * 4):
+        raise ValueError(f"frame {row.frame_no} has {len(raw)} bytes, not {width * height * 3} or {width * height * 4}")
+    frame = raw.reshape(height, width, -1)
+    return np.concatenate([state.process(frame[..., :3].copy()), frame[..., 3:]], axis=-1).tobytes()
+
+
+def frame_columns(frames: DataFrame) -> list[str]:
+    return ["stream_id", "frame_no", "pixels", *(c for c in ("reset", *CONTROLS) if c in frames.columns)]
+
+
+def fold_frames(frames: DataFrame, codec, width: int, height: int, tuned=None) -> DataFrame:
+    """Frames (stream_id, frame_no, pixels[, reset, controls]) to (stream_id, frame_no, pixels); rgb or rgba, whose
+    alpha passes through. ``codec`` makes a fresh codec for a stream. A frame of another size is an error. Streams are
+    the unit of parallel work."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = codec(), []
-        rows = rows.sort_values("frame_no")
-        for r in rows.itertuples():
-            if has_reset and r.reset:
-                state.reset()
-            raw = np.frombuffer(bytes(r.pixels), np.uint8)
-            if len(raw) not in (w * h * 3, w * h * 4):
-                raise ValueError(f"frame {r.frame_no} has {len(raw)} bytes, not {w * h * 3} or {w * h * 4}")
-            frame = raw.reshape(h, w, -1)
-            made = state.process(frame[..., :3].copy())
-            out.append(np.concatenate([made, frame[..., 3:]], axis=-1).tobytes())
+        state, rows = codec(), rows.sort_values("frame_no")
+        out = [one_frame(state, r, width, height, tuned) for r in rows.itertuples()]
         return pd.DataFrame({"stream_id": rows["stream_id"], "frame_no": rows["frame_no"], "pixels": out})
 
     kind = frames.schema["stream_id"].dataType.simpleString()
-    columns = ["stream_id", "frame_no", "pixels", *(["reset"] if has_reset else [])]
-    return frames.select(*columns).groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, frame_no long, pixels binary")
+    return frames.select(*frame_columns(frames)).groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, frame_no long, pixels binary")
