@@ -113,7 +113,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, most_chars: int):
         yield held
 
 
-def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.06, block_chars: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, block_chars: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (id, item_id, distance, end_at) of documents and items they hold, with columns ``carry`` of ``docs``.
 
     Whole texts are compared in lower case with white space as single spaces; an item is found if its edit distance
