@@ -170,7 +170,10 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _searched(left: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of other components: rows (token, digest, n, comp, point) searched token by token."""
+    """Candidate pairs of other components: rows (token, digest, n, comp, point, prefix) searched token by token.
+
+    A pair that shares several prefix n-grams comes out at the least of them alone.
+    """
     def search(batches):
         carried: list[pa.Table] = []
 
@@ -197,13 +200,15 @@ def _searched(left: DataFrame, percent: int) -> DataFrame:
             if g.num_rows < 2:
                 continue
             ids = g.column("digest").to_pylist()
+            token = g.column("token")[0].as_py()
+            prefixes = [frozenset(x) for x in g.column("prefix").to_pylist()]
             n = np.asarray(g.column("n"))
             _, comp = np.unique(np.array(g.column("comp").to_pylist(), dtype="S16"), return_inverse=True)
             points = _points(g.column("point"))
             tree = RTree(points, n, comp)
             for i in range(len(ids)):
                 for j in tree.search(points[i], int(n[i]), int(comp[i]), percent):
-                    if ids[i] < ids[j]:
+                    if ids[i] < ids[j] and min(prefixes[i] & prefixes[j]) == token:
                         a.append(ids[i])
                         b.append(ids[j])
             if len(a) > 20_000:
@@ -242,8 +247,8 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     low = left.groupBy("token").agg(F.min(F.struct("comp", "digest")).alias("low"))
     star = left.join(low, "token").filter("comp <> low.comp").select(F.col("low.digest").alias("a"), F.col("digest").alias("b")).distinct()
     comps = merged(comps, _close(star, classes, percent))
-    left = _open(posts, comps).join(classes.select("digest", "n", "point"), "digest").select("token", "digest", "n", "comp", "point")
-    comps = merged(comps, _close(_searched(left, percent).distinct(), classes, percent))
+    left = _open(posts, comps).join(classes.select("digest", "n", "point", "prefix"), "digest").select("token", "digest", "n", "comp", "point", "prefix")
+    comps = merged(comps, _close(_searched(left, percent), classes, percent))
     root = mine.filter("digest IS NOT NULL").join(comps.withColumnRenamed("key", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
     lowest = written(root.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     of_class = root.groupBy("digest").agg(F.first("root").alias("root")).join(lowest, "root").select("digest", "component_id")
