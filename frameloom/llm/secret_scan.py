@@ -27,8 +27,12 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs are identifiers of public things.
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-#: Words in snake, kebab or path form, perhaps with numbers at their ends: identifiers.
+#: No letters: numbers, at over two digits a token in any order.
+_NUMBER = re.compile(r"[0-9+/_=-]+\Z")
+#: The form of words in snake, kebab or path form, perhaps with numbers at their ends; random strings may have it too.
 _NAME = re.compile(r"[+/_=-]*(?:[A-Za-z]*[0-9]*|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+[0-9]*|[0-9]+))*[+/_=-]*\Z")
+#: Words and numbers of a name: capitals together, humps, digits.
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+"
@@ -54,14 +58,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def random_strings(text: str, encoding, least: float) -> list[tuple[int, int, str]]:
-    """Runs of 16 and more key characters, with letters and digits mixed, of under ``least`` characters a token."""
+def is_name(run: str, encoding, spelt: float) -> bool:
+    """Whether ``run`` has the form of a name and its parts, in lower case, have ``spelt`` characters a token or more."""
+    if not _NAME.match(run):
+        return False
+    parts = [p.lower() for p in _PART.findall(run)]
+    return sum(map(len, parts)) >= spelt * sum(len(encoding.encode_ordinary(p)) for p in parts)
+
+
+def random_strings(text: str, encoding, least: float, spelt: float = 2.25) -> list[tuple[int, int, str]]:
+    """Runs of 16 and more key characters, of under ``least`` characters a token.
+
+    Numbers, digests, UUIDs and names are set aside. A name's parts are spelt in fewer tokens than the whole: the
+    vocabulary has few words in capitals, and what joins them takes tokens of its own.
+    """
     out = []
     for m in _RUN.finditer(text):
         run = m[0].strip("+/_=-")
-        if len(run) < 16 or run.isalpha() or run.isdigit() or _DIGEST.match(run) or _UUID.match(run) or _NAME.match(run):
+        if len(run) < 16 or _NUMBER.match(run) or _DIGEST.match(run) or _UUID.match(run):
             continue
-        if len(run) / len(encoding.encode_ordinary(run)) < least:
+        if len(run) / len(encoding.encode_ordinary(run)) < least and not is_name(run, encoding, spelt):
             out.append((m.start(), m.end(), "random"))
     return out
 
