@@ -142,14 +142,16 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 400, windows_per_row: int = 6, window: int = 256, max_langs: int = 500, seed: int = 1) -> Model | None:
-    """Train on a bounded sample: about ``rows_per_lang`` rows of each language, ``windows_per_row`` windows of each.
+    """Train on a bounded sample: about ``rows_per_lang`` texts of each language, ``windows_per_row`` windows of each.
 
-    Rows are taken by a hash of their text, windows evenly from the whole text, and equal windows count once, so a
-    text with many copies adds no more than one of them. Rows without text or language
+    Texts are taken by their hash, at a share of the distinct hashes of their language, windows evenly from the whole
+    text, and equal windows count once: a text with many copies adds no more than one of them and takes no other
+    text's place. Rows without text or language
     teach nothing; without any labelled row there is no model (None). More than ``max_langs`` languages is an error.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    texts = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not counts:

@@ -1,7 +1,9 @@
 import random
 import string
 
-from frameloom.llm import secret_scan
+from pyspark.sql import functions as F
+
+from frameloom.llm import langid, secret_scan
 
 
 def test_random_strings_of_every_form_are_found():
@@ -21,3 +23,13 @@ def test_random_strings_of_every_form_are_found():
         assert found >= 285, (form, found)
     names = "getElementsByClassName internationalization HAVE_SYS_PARAM_H TOO_MANY_REQUESTS some_long_variable_name_2 src/main/resources/application Donaudampfschifffahrtsgesellschaft 4952935900253052 2024-01-02-2024-05-06 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
     assert secret_scan.random_strings(names, encoding, 2.0) == []
+
+
+def test_copies_leave_the_language_sample_whole(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda x, y, langs, **_: taken.append([langs[i] for i in y]))
+    others = spark.range(1000).select(F.concat(F.lit("some text of number "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    copies = spark.range(20_000).select(F.lit("the very same text").alias("text"), F.lit("en").alias("lang"))
+    langid.fit(others.union(copies))
+    langid.fit(others)
+    assert 300 <= len(taken[0]) <= 500 and abs(len(taken[0]) - len(taken[1])) <= 5
