@@ -18,23 +18,81 @@ from pyspark.sql import DataFrame
 
 #: Fixed values of HTML: elements that stay inside a block, that hold no text of their own, that have no content.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select option canvas audio video title".split())
+RAW = frozenset("script style noscript template iframe object svg textarea select canvas audio video title".split())
+#: Of these, the ones whose text has no tags.
+TEXT_ONLY = frozenset("script style textarea title".split())
+#: Raw elements that may hold their own kind.
+NESTS = frozenset("template object svg canvas audio video".split())
+#: Formulas stay inside a block, a space before each of their elements.
+MATH = frozenset("annotation annotation-xml maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 #: A p ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|" + _TAG.pattern, re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
+def _own_end(page: str, at: int, tag: str) -> int:
+    """The end of the next end tag of this name, or -1."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+    return end.end() if end else -1
+
+
+def _raw_end(page: str, at: int, tag: str, parents: list[str], spans: dict[str, int], bare: set) -> int:
+    """Where the raw element ends that begins at ``at``: after its end tag, else where an element above it ends.
+
+    ``parents`` are the open blocks, ``spans`` has how often inline elements are open, ``bare`` gets the places and
+    the names known to have no end tag.
+    """
+    if tag in TEXT_ONLY:
+        end = _own_end(page, at, tag)
+        return len(page) if end < 0 else end
+    inner: dict[str, int] = {}
+    begin, opens, implied, end = at, [at], -1, len(page)
+    while m := _MARK.search(page, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        closing, name, empty = m[1], m[2].lower(), m[3].endswith("/")
+        if name == tag:
+            if closing:
+                opens.pop()
+                if tag not in NESTS or not opens:
+                    return at
+            elif not empty:
+                opens.append(at)
+        elif closing:
+            if inner.get(name):
+                inner[name] -= 1
+            elif name in parents or spans.get(name, 0) > 0:
+                end = m.start()
+                break
+        elif name in TEXT_ONLY:
+            after = -1 if name in bare else _own_end(page, at, name)
+            if after < 0:
+                bare.add(name)
+            at = max(at, after)
+        elif name not in VOID and not empty:
+            if implied < 0 and name in ENDS_P and parents and parents[-1] == "p":
+                implied = m.start()
+                if begin in bare:
+                    return implied
+            inner[name] = inner.get(name, 0) + 1
+    bare.update(opens)
+    return end if implied < 0 else implied
+
+
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters inside links) of each leaf block in page order.
 
     The path has the open block tags and the words of their class, id and role. Comments, scripts and the like
-    are left out; what is never closed ends with the page. References are decoded once, white space is made one
+    are left out; a script, style, textarea or title that is never closed ends with the page, any other element with
+    the one above it. References are decoded once, white space is made one
     space, empty blocks go.
     """
     out: list[tuple[str, tuple[str, ...], int]] = []
@@ -42,6 +100,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     piece: list[str] = []
     linked = 0
     in_link = False
+    spans: dict[str, int] = {}
+    bare: set = set()
 
     def flush():
         nonlocal linked
@@ -80,14 +140,18 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag in INLINE:
             if tag == "a":
                 in_link = not closing
+            spans[tag] = max(0, spans.get(tag, 0) + (-1 if closing else 1))
+            continue
+        if tag in MATH:
+            if not closing:
+                piece.append(" ")
             continue
         if tag == "br":
             piece.append(" ")
             continue
         if tag in RAW and not closing:
             if not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = _raw_end(page, at, tag, [t for t, _ in stack], spans, bare)
             flush() if tag == "title" else piece.append(" ")
             continue
         flush()
@@ -212,9 +276,10 @@ class Crf:
 def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[list, list[int]]]:
     """Pages made from a grammar of layouts, each block with its label; main text carries a mark that is then removed."""
     rng = random.Random(seed)
+    own = random.Random(f"options {seed}")
     mark = "⁣"
 
-    def word():
+    def word(rng=rng):
         return "".join(rng.choice(("a", "e", "i", "o", "st", "re", "th", "on", "is", "ch", "ü", "é")) for _ in range(rng.randint(1, 5)))
 
     def say(lo, hi, stop=True):
@@ -227,6 +292,12 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[list, list[int]]]:
         key = rng.choice(("class", "class", "id"))
         return f'<{tag} {key}="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
 
+    def options():
+        if own.random() < 0.5:
+            return ""
+        last = own.choice(("", "</option>"))
+        return "<datalist>" + "".join(f"<option>{word(own)}{last}" for _ in range(own.randint(1, 5))) + "</datalist>"
+
     def para(main=True):
         text = (mark if main else "") + say(*rng.choice(((2, 6), (8, 30), (20, 90))), stop=rng.random() < 0.9)
         if rng.random() < 0.15:
@@ -243,7 +314,7 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[list, list[int]]]:
             head.insert(0, wrap(rng.choice(("header", "div")), rng.choice(("header", "masthead", "banner", "site-header")), rng.choice(("<h1>{}</h1>", "<p>{}</p>", "<div>{}</div>")).format(say(1, 6, False))))
         ad = lambda: wrap(rng.choice(("div", "aside", "section")), rng.choice(("ad", "ads", "advert", "sponsored", "promo", "ad-banner")), rng.choice(("{}", "<p>{}</p>")).format(say(4, 40)))
         notice = lambda: wrap("div", rng.choice(("notice", "cookie", "cookie-consent", "alert", "gdpr", "popup")), rng.choice(("{}", "<p>{}</p>")).format(say(6, 30)))
-        form = lambda: wrap("form", rng.choice(("", "search", "subscribe", "login")), f"<label>{say(1, 4, False)}</label><input><button>{say(1, 2, False)}</button><p>{say(5, 15)}</p>")
+        form = lambda: wrap("form", rng.choice(("", "search", "subscribe", "login")), f"<label>{say(1, 4, False)}</label><input>{options()}<button>{say(1, 2, False)}</button><p>{say(5, 15)}</p>")
         side = lambda: wrap(rng.choice(("aside", "div")), rng.choice(("sidebar", "related", "widget", "side")), f"<h3>{say(1, 4, False)}</h3>" + "".join(rng.choice((f"<p>{say(6, 40)}</p>", f"<ul><li>{links(1)[0]}</li></ul>")) for _ in range(rng.randint(1, 4))))
         comments = lambda: wrap(rng.choice(("section", "div", "ol")), rng.choice(("comments", "comment-list", "replies", "discussion-comments")), "".join(wrap(rng.choice(("div", "article", "li")), rng.choice(("comment", "reply", "comment-body")), f"<p>{say(4, 60)}</p>") for _ in range(rng.randint(1, 5))))
         body = [f"<h1>{mark}{say(2, 12, False)}</h1>"] if rng.random() < 0.85 else []

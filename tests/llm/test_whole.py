@@ -3,7 +3,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from frameloom.llm import langid, secret_scan
+from frameloom.llm import html_text, langid, secret_scan
 
 
 def test_random_strings_of_every_form_are_found():
@@ -33,3 +33,20 @@ def test_copies_leave_the_language_sample_whole(spark, monkeypatch):
     langid.fit(others.union(copies))
     langid.fit(others)
     assert 300 <= len(taken[0]) <= 500 and abs(len(taken[0]) - len(taken[1])) <= 5
+
+
+def test_pages_lose_no_more_than_their_raw_elements():
+    crf = html_text.trained()
+    first, second = "The first paragraph of the article has some words in it.", "The second paragraph has as many words, and a stop."
+    article = f"<article><h1>A heading of it</h1><p>{first}</p><p>{second}</p></article>"
+    main = f"A heading of it\n{first}\n{second}"
+    search = "<form class=search><input list=s><datalist id=s><option value=x><option>Pears<option>Plums</datalist></form>"
+    assert html_text.main_text(crf, f"<body><header>{search}</header>{article}</body>") == main
+    for raw in ("<iframe src=x>", "<object data=x>no plug-in", "<noscript>no script", "<object><object></object>no plug-in", "<select><option>one", "<video src=x><p>no video</p>"):
+        for begin, end in (("<div>", "</div>"), ("<div><span>", "</span></div>"), ("<p>", "")):
+            found = html_text.blocks(f"<body>{begin}{raw}{end}{article}</body>")
+            assert [b[0] for b in found][-3:] == main.split("\n"), (raw, begin)
+    whole = "<div><noscript><!-- </div> --><div>a</div><style>p</style></noscript><object><object>b</object>c</object><p>d</p></div>"
+    assert [b[0] for b in html_text.blocks(whole)] == ["d"]
+    formula = "<p>So <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>.</p>"
+    assert [b[0] for b in html_text.blocks(formula)] == ["So x = 1 2."]
