@@ -149,7 +149,8 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs``, whole, that hold no item."""
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    hit = matches(marked, items, id_col=id_col, text_col=text_col, carry=("_text_hash",), **kw).select(F.col(id_col).alias("_id"), F.col("_text_hash").alias("_hash")).distinct()
-    return marked.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select(*docs.columns)
+    """The rows of ``docs``, whole, that hold no item. A row travels packed in one column, so no name can clash."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.struct("*").alias("row"))
+    hit = matches(rows.drop("row"), items, carry=("hash",), **kw).select("doc_id", "hash").distinct()
+    on = F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.hash") == F.col("h.hash"))
+    return rows.drop("text").alias("r").join(hit.alias("h"), on, "left_anti").select("row.*")

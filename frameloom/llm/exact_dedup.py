@@ -81,15 +81,20 @@ def decisions(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, that ``index.add`` keeps. Rows equal in id, length and digest keep one of them."""
+    """The rows of ``docs``, whole, that ``index.add`` keeps. Rows equal in id, length and digest keep one of them.
+
+    A row travels packed in one column, so no column of ``docs`` can clash with those used here.
+    """
     counts, groups = index.add(docs, id_col, text_col)
-    own = counts.select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_keep"), F.col("n_points").alias("_points"), F.col("copies").alias("_same"))
-    new = groups.filter("fresh")
-    same_row = (F.col("digest") == F.col("_digest")) & F.col("keep_id").eqNullSafe(F.col("_keep")) & (F.col("n_points") == F.col("_points"))
-    won = written(new.join(own, same_row).select("_digest", "_keep", "_points", "_same"))
-    here = docs.withColumn("_len", F.coalesce(F.length(text_col), F.lit(0)))
-    rows = here.join(won, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_len") == F.col("_points")) & (digest(F.col(text_col)) == F.col("_digest")))
-    if won.filter("_same > 1").isEmpty():
-        return rows.select(*docs.columns)
-    single = rows.filter("_same = 1").select(*docs.columns)
-    return single.unionByName(rows.filter("_same > 1").dropDuplicates(["_keep", "_digest"]).select(*docs.columns))
+    same_row = (F.col("c.digest") == F.col("g.digest")) & F.col("c.doc_id").eqNullSafe(F.col("g.keep_id")) & (F.col("c.n_points") == F.col("g.n_points"))
+    won = written(counts.alias("c").join(groups.filter("fresh").alias("g"), same_row).select("c.digest", "c.doc_id", "c.n_points", "c.copies"))
+    here = docs.select(
+        digest(F.col(text_col)).alias("digest"), F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.length(text_col), F.lit(0)).alias("n_points"), F.struct("*").alias("row"),
+    )
+    on = (F.col("h.digest") == F.col("w.digest")) & F.col("h.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("h.n_points") == F.col("w.n_points"))
+    rows = here.alias("h").join(won.alias("w"), on).select("h.*", "w.copies")
+    if won.filter("copies > 1").isEmpty():
+        return rows.select("row.*")
+    single = rows.filter("copies = 1").select("row.*")
+    return single.unionByName(rows.filter("copies > 1").dropDuplicates(["doc_id", "digest"]).select("row.*"))

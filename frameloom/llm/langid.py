@@ -61,9 +61,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(windows: np.ndarray, y: np.ndarray, langs: list[str], *, filters: int = 8, epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 1) -> Model:
+def train(
+    windows: np.ndarray, y: np.ndarray, langs: list[str], *,
+    filters: int = 8, epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 1, steps: tuple[int, int] = (300, 6000),
+) -> Model:
     """Fit by Adam. ``windows`` (n, window + 3) of folded bytes: a filter may look 3 bytes past its window.
 
+    ``epochs`` passes, more of them where they come to fewer than ``steps[0]`` steps and fewer where to more than
+    ``steps[1]``: a small sample is learnt too, and many languages keep the driver no longer than a few.
     The gradient of a maximum goes to the place that attained it, so a step touches one place for each filter.
     """
     rng = np.random.default_rng(seed)
@@ -72,9 +77,10 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str], *, filters: int
     params = [*tables, np.zeros(len(WIDTHS) * filters, np.float32), rng.normal(0, 0.3, (len(WIDTHS) * filters, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
-    for _ in range(epochs):
+    wanted = min(max(epochs * -(-len(windows) // batch), steps[0]), steps[1])
+    while step < wanted:
         order = rng.permutation(len(windows))
-        for at in range(0, len(order), batch):
+        for at in range(0, min(len(order), (wanted - step) * batch), batch):
             rows = order[at : at + batch]
             x = windows[rows].copy()
             for i in np.flatnonzero(rng.random(len(rows)) < 0.3):  # short texts too
@@ -182,20 +188,20 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     return train(x, y, langs, seed=seed)
 
 
-def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` with lang_pred and score (columns of such names are replaced).
+def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", slice_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with the language and its score in ``lang_out`` and ``score_out`` (columns of such names are replaced).
 
     Null, empty and letterless texts, and every text if there is no model, get ``und`` with score 0. Rows are
     judged one by one, so equal texts get equal results; an empty table stays empty.
     """
-    rows = docs.drop("lang_pred", "score")
-    schema = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    rows = docs.drop(lang_out, score_out)
+    schema = rows.withColumns({lang_out: F.lit(""), score_out: F.lit(0.0)}).schema
 
     def apply(batches):
         for b in batches:
             for part in slices(b, text_col, slice_bytes):
                 n = part.num_rows
                 lang, score = predict(model, part.column(text_col)) if model else ([UND] * n, np.zeros(n))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, lang_out, score_out])
 
     return rows.mapInArrow(apply, schema)

@@ -98,7 +98,7 @@ def mix(
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     skey = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")] if carry else [id_col]
+    columns = [f"`{c}`" for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")] if carry else [id_col]
     rows = docs.select(
         F.struct(*columns).alias("row"), size.alias("size"), skey.alias("skey"), F.col(source_col).alias("source"),
         _md5_int(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("deal"),

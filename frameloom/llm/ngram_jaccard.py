@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from frameloom.llm import counting
 from frameloom.llm.batches import flat, mix64, words
@@ -93,8 +94,9 @@ def shared_texts(docs: DataFrame, id_col: str, text_col: str, n_words: int, perc
                 c.append(v)
         return pa.table([table.column("doc_id"), table.column("text_hash"), *columns.values()], schema=out)
 
-    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("point", pa.binary()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-    schema = "doc_id long, text_hash long, n long, digest binary, point binary, shared binary, prefix array<long>"
+    kind = rows.schema["doc_id"].dataType
+    out = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("point", pa.binary()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = f"doc_id {kind.simpleString()}, text_hash long, n long, digest binary, point binary, shared binary, prefix array<long>"
     return written(blocks.rows.groupBy("block").cogroup(counts.drop("all", "distinct").groupBy("block")).applyInArrow(read, schema))
 
 
@@ -260,17 +262,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, whole, with one row left of each component: the smallest id, then the smallest text hash.
 
     Rows equal in id and text are one text; of such rows, one stays if they stand for their component, as for any
-    set of copies. Rows without a link stay.
+    set of copies. Rows without a link stay. A row travels packed in one column, so no name can clash.
     """
     rows = written(near_classes(docs, id_col=id_col, text_col=text_col, **kw).filter("digest IS NOT NULL").select("doc_id", "text_hash", "digest", "component_id"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     by = F.coalesce(F.col("component_id").cast("string"), F.hex("digest"))
     group = rows.groupBy(by.alias("g")).agg(F.min(row).alias("stays"), F.count("*").alias("n")).filter("n > 1")
-    judged = written(rows.withColumn("g", by).join(group, "g").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.max(row == F.col("stays")).alias("stays"), F.count("*").alias("same")))
-    here = docs.withColumn("_hash", F.xxhash64(text_col))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
-    kept = here.join(judged.filter(~F.col("stays") | (F.col("same") > 1)), on, "left_anti").select(*docs.columns)
+    judged = written(rows.withColumn("g", by).join(group, "g").groupBy("doc_id", "text_hash").agg(F.max(row == F.col("stays")).alias("stays"), F.count("*").alias("same")))
+    here = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.struct("*").alias("row")).alias("h")
+    on = F.col("h.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("h.text_hash") == F.col("j.text_hash"))
+    kept = here.join(judged.filter(~F.col("stays") | (F.col("same") > 1)).alias("j"), on, "left_anti").select("row.*")
     again = judged.filter(F.col("stays") & (F.col("same") > 1))
     if again.isEmpty():
         return kept
-    return kept.unionByName(here.join(again, on, "left_semi").dropDuplicates([id_col, "_hash"]).select(*docs.columns))
+    return kept.unionByName(here.join(again.alias("j"), on, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*"))
