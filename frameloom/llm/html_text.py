@@ -10,116 +10,132 @@ from __future__ import annotations
 import html as htmllib
 import random
 import re
+from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Fixed values of HTML: elements that stay inside a block, that hold no text of their own, that have no content.
+#: Fixed values of HTML: elements that stay inside a block, whose text is not markup and not read, that have no content.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe object svg textarea select canvas audio video title".split())
-#: Of these, the ones whose text has no tags.
-TEXT_ONLY = frozenset("script style textarea title".split())
-#: Raw elements that may hold their own kind.
-NESTS = frozenset("template object svg canvas audio video".split())
+UNREAD = frozenset("script style textarea title".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Formulas stay inside a block, a space before each of their elements.
 MATH = frozenset("annotation annotation-xml maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that may be empty inside a paragraph: they end a block only if they hold text.
+QUIET = frozenset("audio canvas datalist iframe noscript object select svg template video".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 #: A p ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|" + _TAG.pattern, re.S)
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: References to numbers beyond all code points; they stand for the replacement character.
+_BEYOND = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9A-Fa-f][0-9A-Fa-f]{6,});?")
+_ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9A-Fa-f])")
+
+
+@dataclass(frozen=True, eq=False)
+class Node:
+    """An open element: the one above it, its depth, its tag, and the features that no element above it has."""
+
+    above: Node | None
+    depth: int
+    tag: str
+    fresh: tuple[str, ...]
+
+    def features(self) -> list[str]:
+        out = ["depth:" + str(min(self.depth, 6)), "leaf:" + self.tag]
+        node = self
+        while node:
+            out += node.fresh
+            node = node.above
+        return out
 
 
-def _own_end(page: str, at: int, tag: str) -> int:
-    """The end of the next end tag of this name, or -1."""
-    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-    return end.end() if end else -1
+class _Ends:
+    """Where tags end, in time linear in the page.
 
+    A tag ends at the first ``>`` outside quotes. Once a tag has none, its quotes and those of all later tags are
+    taken for ordinary characters, and once no ``>`` is left, a ``<`` is text.
+    """
 
-def _raw_end(page: str, at: int, tag: str, parents: list[str], spans: dict[str, int], bare: set) -> int:
-    """Where the raw element ends that begins at ``at``: after its end tag, else where an element above it ends.
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
 
-    ``parents`` are the open blocks, ``spans`` has how often inline elements are open, ``bare`` gets the places and
-    the names known to have no end tag.
-    """
-    if tag in TEXT_ONLY:
-        end = _own_end(page, at, tag)
-        return len(page) if end < 0 else end
-    inner: dict[str, int] = {}
-    begin, opens, implied, end = at, [at], -1, len(page)
-    while m := _MARK.search(page, at):
-        at = m.end()
-        if not m[2]:
-            continue
-        closing, name, empty = m[1], m[2].lower(), m[3].endswith("/")
-        if name == tag:
-            if closing:
-                opens.pop()
-                if tag not in NESTS or not opens:
-                    return at
-            elif not empty:
-                opens.append(at)
-        elif closing:
-            if inner.get(name):
-                inner[name] -= 1
-            elif name in parents or spans.get(name, 0) > 0:
-                end = m.start()
-                break
-        elif name in TEXT_ONLY:
-            after = -1 if name in bare else _own_end(page, at, name)
-            if after < 0:
-                bare.add(name)
-            at = max(at, after)
-        elif name not in VOID and not empty:
-            if implied < 0 and name in ENDS_P and parents and parents[-1] == "p":
-                implied = m.start()
-                if begin in bare:
-                    return implied
-            inner[name] = inner.get(name, 0) + 1
-    bare.update(opens)
-    return end if implied < 0 else implied
-
-
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters inside links) of each leaf block in page order.
-
-    The path has the open block tags and the words of their class, id and role. Comments, scripts and the like
-    are left out; a script, style, textarea or title that is never closed ends with the page, any other element with
-    the one above it. References are decoded once, white space is made one
-    space, empty blocks go.
+    def __call__(self, at: int) -> int:
+        if at > self.last:
+            return -1
+        if self.quotes:
+            m = _REST.match(self.page, at)
+            if m:
+                return m.end()
+            self.quotes = False
+        return self.page.find(">", at) + 1
+
+
+def _decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    return htmllib.unescape(_BEYOND.sub("\ufffd", _ZEROS.sub(r"&#\1", text)))
+
+
+def blocks(page: str) -> list[tuple[str, Node | None, int]]:
+    """(text, innermost open block element, characters inside links) of each leaf block in page order.
+
+    Comments, scripts, styles, text areas and titles are left out; one that is never closed ends with the page. All
+    other text is kept, that of fallbacks (``noscript``, ``object``) and choices too: labels tell them from the
+    article. References are decoded once, white space is made one space, empty blocks go. The time is linear in the
+    page whatever its markup.
     """
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, str]] = []
+    out: list[tuple[str, Node | None, int]] = []
+    stack: list[Node] = []
+    open_tags: Counter[str] = Counter()
+    shown: Counter[str] = Counter()  # features of the open elements
     piece: list[str] = []
-    linked = 0
-    in_link = False
-    spans: dict[str, int] = {}
-    bare: set = set()
+    home: Node | None = None  # the element that the piece began in
+    linked, in_link = 0, False
+    closers: dict[str, re.Pattern] = {}
 
     def flush():
         nonlocal linked
         if piece:
-            text = " ".join(htmllib.unescape("".join(piece)).split())
+            text = " ".join(_decoded("".join(piece)).split())
             if text:
-                out.append((text, tuple(k for _, k in stack), linked))
+                out.append((text, home, linked))
             piece.clear()
         linked = 0
 
+    def read(text: str):
+        nonlocal home, linked
+        if not text.isspace():
+            here = stack[-1] if stack else None
+            if piece and home is not here:
+                flush()
+            home = here
+            linked += len(text) * in_link
+            piece.append(text)
+        elif piece:
+            piece.append(" ")
+
+    def pop():
+        node = stack.pop()
+        open_tags[node.tag] -= 1
+        for f in node.fresh:
+            del shown[f]
+
+    tag_end = _Ends(page)
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            piece.append(page[at:lt])
-            linked += (lt - at) * in_link
+            read(page[at:lt])
         if lt == n:
             break
         if page.startswith("<!--", lt):
@@ -130,72 +146,72 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
-        if not m:
-            piece.append("<")
+        m = _OPEN.match(page, lt) if lt < tag_end.last else None
+        at = tag_end(m.end()) if m else -1
+        if at < 0:
+            read("<")
             at = lt + 1
             continue
-        at = m.end()
-        closing, tag, rest = m[1], m[2].lower(), m[3]
+        closing, tag, rest = m[1], m[2].lower(), page[m.end() : at - 1]
         if tag in INLINE:
             if tag == "a":
                 in_link = not closing
-            spans[tag] = max(0, spans.get(tag, 0) + (-1 if closing else 1))
             continue
-        if tag in MATH:
+        if tag in MATH or tag in VOID and tag != "hr":
+            if piece and not (closing and tag in MATH):
+                piece.append(" ")
+            continue
+        if tag in UNREAD:
             if not closing:
+                end = closers.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I)).search(page, at)
+                at = end.end() if end else n
+            if piece:
                 piece.append(" ")
             continue
-        if tag == "br":
+        if tag not in QUIET:
+            flush()
+        elif piece:
             piece.append(" ")
-            continue
-        if tag in RAW and not closing:
-            if not rest.endswith("/"):
-                at = _raw_end(page, at, tag, [t for t, _ in stack], spans, bare)
-            flush() if tag == "title" else piece.append(" ")
-            continue
-        flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while open_tags[tag]:
+                last = stack[-1].tag
+                pop()
+                if last == tag:
                     break
             continue
-        if tag in ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        while stack and stack[-1][0] in CLOSES.get(tag, ()):
-            stack.pop()
+        if tag in ENDS_P and stack and stack[-1].tag == "p":
+            pop()
+        while stack and stack[-1].tag in CLOSES.get(tag, ()):
+            pop()
         if tag not in VOID and not rest.endswith("/"):
             names = [w for g in _ATTR.findall(rest) for w in _NAME.findall("".join(g).lower())] if rest else []
-            stack.append((tag, " ".join([tag, *names])))
+            fresh = tuple(f for f in dict.fromkeys(["in:" + tag, *("name:" + w for w in names)]) if f not in shown)
+            shown.update(fresh)
+            open_tags[tag] += 1
+            stack.append(Node(stack[-1] if stack else None, len(stack) + 1, tag, fresh))
     flush()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    seen = {"depth:" + str(min(len(path), 6))}
-    for i, node in enumerate(path):
-        tag, *names = node.split(" ")
-        seen.add("in:" + tag)
-        seen.update("name:" + w for w in names)
-        if i == len(path) - 1:
-            seen.add("leaf:" + tag)
-    return tuple(sorted(seen))
+def _path_features(node: Node | None) -> list[str]:
+    return node.features() if node else ["depth:0"]
+
+
+_SAYS = re.compile("cookie|subscribe|newsletter|advert|sponsor|javascript|browser", re.I)
 
 
 def _text_features(text: str, linked: int) -> list[str]:
+    """Texts of 64 words and more share one feature of length; cue words are looked for in the whole text."""
     n = len(text)
     words = text.count(" ") + 1
-    out = ["bias", "words:" + str(min(words, 127).bit_length()), "link:" + str(min(4, linked * 4 // max(n, 1)))]
+    out = ["bias", "words:" + str(min(words.bit_length(), 7)), "link:" + str(min(4, linked * 4 // max(n, 1)))]
     if text[-1] in ".!?\"'”»…:;":
         out.append("stop")
     if "©" in text or "(c)" in text:
         out.append("copyright")
-    low = text[:200].lower()
-    for key in ("cookie", "subscribe", "newsletter", "advert", "sponsor"):
-        if key in low:
-            out.append("says:" + key)
+    said = len(_SAYS.findall(text))
+    if said:
+        out.append("says" if words < 40 * said else "says:rarely")
     return out
 
 
@@ -205,18 +221,36 @@ class Crf:
     def __init__(self):
         self.weights: dict[str, float] = {}
         self.step = np.zeros((2, 2))
-        self._path: dict[tuple[str, ...], float] = {}
+        self._tags: dict[tuple, float] = {}
+
+    def _fresh(self, node: Node) -> float:
+        key = node.fresh
+        s = self._tags.get(key)
+        if s is None:
+            if len(self._tags) > 50_000:
+                self._tags.clear()
+            s = self._tags[key] = sum(self.weights.get(f, 0.0) for f in key)
+        return s
 
     def scores(self, page_blocks) -> np.ndarray:
         w = self.weights
         out = np.empty(len(page_blocks))
-        for i, (text, path, linked) in enumerate(page_blocks):
-            s = self._path.get(path)
-            if s is None:
-                if len(self._path) > 50_000:
-                    self._path.clear()
-                s = self._path[path] = sum(w.get(f, 0.0) for f in _path_features(path))
-            out[i] = s + sum(w.get(f, 0.0) for f in _text_features(text, linked))
+        sums: dict[int, float] = {}  # of the features of a node and of all above it
+        for i, (text, node, linked) in enumerate(page_blocks):
+            s = sum(w.get(f, 0.0) for f in _text_features(text, linked))
+            if node:
+                way = []
+                above = node
+                while above and id(above) not in sums:
+                    way.append(above)
+                    above = above.above
+                total = sums[id(above)] if above else 0.0
+                for step in reversed(way):
+                    total = sums[id(step)] = total + self._fresh(step)
+                s += total + w.get("depth:" + str(min(node.depth, 6)), 0.0) + w.get("leaf:" + node.tag, 0.0)
+            else:
+                s += w.get("depth:0", 0.0)
+            out[i] = s
         return out
 
     def decode(self, page_blocks) -> list[bool]:
@@ -269,7 +303,7 @@ class Crf:
                     g -= decay * self.weights.get(f, 0.0)
                     square[f] = square.get(f, 1e-6) + g * g
                     self.weights[f] = self.weights.get(f, 0.0) + rate * g / square[f] ** 0.5
-        self._path.clear()
+        self._tags.clear()
         return self
 
 
@@ -295,8 +329,23 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[list, list[int]]]:
     def options():
         if own.random() < 0.5:
             return ""
-        last = own.choice(("", "</option>"))
-        return "<datalist>" + "".join(f"<option>{word(own)}{last}" for _ in range(own.randint(1, 5))) + "</datalist>"
+        last, tag = own.choice(("", "</option>")), own.choice(("datalist", "select"))
+        return f"<{tag}>" + "".join(f"<option>{word(own)}{last}" for _ in range(own.randint(1, 5))) + f"</{tag}>"
+
+    def own_say(lo, hi):
+        return " ".join(word(own) for _ in range(own.randint(lo, hi))).capitalize() + "."
+
+    def fallback():
+        """What a browser shows in place of something: no part of the article."""
+        return own.choice((
+            f"<noscript>{own.choice(('Please enable JavaScript. ', 'This site needs JavaScript. ', ''))}{own_say(2, 9)}</noscript>",
+            f"<video src=x><p>{own_say(3, 8)} Your browser is too old.</p></video>", f"<audio>Your browser can not play this. {own_say(1, 4)}</audio>",
+            f"<object data=x>{own_say(2, 6)}</object>", f"<iframe src=x>{own_say(2, 6)}</iframe>", f"<canvas>{own_say(2, 6)}</canvas>",
+            f"<svg><title>x</title><text>{word(own)}</text></svg>", f"<template><p>{own_say(3, 20)}</p></template>",
+        ))
+
+    def formula():
+        return "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>"
 
     def para(main=True):
         text = (mark if main else "") + say(*rng.choice(((2, 6), (8, 30), (20, 90))), stop=rng.random() < 0.9)
@@ -328,11 +377,19 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[list, list[int]]]:
             body.insert(rng.randint(0, len(body)), ad())
         if rng.random() < 0.1:
             body.append(form())
+        if own.random() < 0.2:
+            body.insert(own.randint(0, len(body)), f"<p>{mark}{own_say(4, 9)} {formula()}, {own_say(5, 20)}</p>")
+        if own.random() < 0.2:  # main text that only readers without scripts see: a paragraph of its own
+            body.insert(own.randint(0, len(body)), f"<noscript><p>{mark}{own_say(8, 60)}</p></noscript>")
+        if own.random() < 0.25:
+            body.insert(own.randint(0, len(body)), fallback())
         tag, name = rng.choice((("article", ""), ("article", ""), ("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("section", "article-body"), ("div", "entry")))
         loose = mark + say(10, 40) if rng.random() < 0.1 else ""
         middle = [*([ad()] if rng.random() < 0.6 else []), *([notice()] if rng.random() < 0.3 else []), wrap(tag, name, loose + "".join(body)), *([ad()] if rng.random() < 0.2 else []), *([side()] if rng.random() < 0.4 else []), *([comments()] if rng.random() < 0.3 else []), *([form()] if rng.random() < 0.2 else [])]
         if rng.random() < 0.2:
             middle.insert(0, side())
+        if own.random() < 0.3:
+            middle.insert(own.choice((0, len(middle))), fallback())
         foot = [wrap(rng.choice(("footer", "footer", "div")), rng.choice(("footer", "site-footer", "copyright")), rng.choice(("{}", "<p>{}</p>")).format(rng.choice(("&copy; ", "")) + say(3, 25)))] if rng.random() < 0.95 else []
         page = f"<!DOCTYPE html><html><head><title>{say(2, 9, False)}</title></head><body>" + "".join([*head, *middle, *foot]) + "</body></html>"
         found = blocks(page)

@@ -1,6 +1,10 @@
+import itertools
 import random
 import string
+import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from frameloom.llm import html_text, langid, secret_scan
@@ -47,6 +51,75 @@ def test_pages_lose_no_more_than_their_raw_elements():
             found = html_text.blocks(f"<body>{begin}{raw}{end}{article}</body>")
             assert [b[0] for b in found][-3:] == main.split("\n"), (raw, begin)
     whole = "<div><noscript><!-- </div> --><div>a</div><style>p</style></noscript><object><object>b</object>c</object><p>d</p></div>"
-    assert [b[0] for b in html_text.blocks(whole)] == ["d"]
+    assert [b[0] for b in html_text.blocks(whole)] == ["a", "b", "c", "d"]
     formula = "<p>So <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>.</p>"
     assert [b[0] for b in html_text.blocks(formula)] == ["So x = 1 2."]
+    inside = f"<article><h1>A heading of it</h1><p>{first}</p><noscript><p>{second}</p></noscript><p>And <math><mi>y</mi></math> is another one that stands in the text.</p></article>"
+    assert html_text.main_text(crf, f"<body><nav><a href=/>Home</a></nav>{inside}<footer>&copy; all</footer></body>") == f"{main}\nAnd y is another one that stands in the text."
+    split = "<p>one <noscript><img src=x></noscript> two <svg></svg>three</p>"
+    assert [b[0] for b in html_text.blocks(split)] == ["one two three"]
+
+
+def test_hostile_markup_takes_linear_time():
+    crf = html_text.trained()
+    for unit in ("<a", "<a b ", '<a href="x ', "<a x='>' ", "<!--", "<script", "<script>", "</", "&#99", "<noscript>", "<select><option>a"):
+        times = []
+        for size in (250_000, 1_000_000):
+            began = time.perf_counter()
+            html_text.main_text(crf, unit * (size // len(unit)))
+            times.append(time.perf_counter() - began)
+        assert times[1] < 1.5 and times[1] < 10 * times[0] + 0.1, (unit, times)
+    for page in ("<div>a" * 30_000 + "</b>" * 30_000, "&#" + "9" * 1_000_000 + ";", "<p class='" + "a " * 300_000 + "'>x", "<div " + "class   " * 50_000 + ">x"):
+        began = time.perf_counter()
+        html_text.main_text(crf, page)
+        assert time.perf_counter() - began < 2
+    assert [b[0] for b in html_text.blocks("&#0065;&#x41;&#99999999;&#x0000042;")] == ["AA\ufffdB"]
+
+
+def test_viterbi_is_the_best_of_all_labellings():
+    rng = random.Random(12)
+    crf = html_text.trained()
+    seen = 0
+    for found, _ in html_text.labelled_pages(80, seed=77):
+        found = found[: rng.randint(1, 9)]
+        e = crf.scores(found)
+        assert np.allclose(e, [sum(crf.weights.get(f, 0.0) for f in (*html_text._path_features(p), *html_text._text_features(t, k))) for t, p, k in found])
+        total = lambda ys: sum(y * x for y, x in zip(ys, e)) + sum(crf.step[a, b] for a, b in itertools.pairwise(ys))  # noqa: B023, E731
+        best = max(itertools.product((0, 1), repeat=len(found)), key=total)
+        assert total(crf.decode(found)) == pytest.approx(total(best))
+        seen += len(found)
+    assert seen > 200
+
+
+PAGES = {
+    # pages written by hand; each with its main text
+    """<html><body><div id="top-nav"><a href="/">Home</a> | <a href="/news">News</a> | <a href="/about">About us</a></div>
+    <div class="cookie-banner"><p>We use cookies to make this site better. <button>Accept</button></p></div>
+    <main><h1>Harbour bridge to close for repairs</h1><p class="byline">By Ann Writer</p><p>The bridge over the harbour will be closed to cars
+    from Monday, the council said on Friday. Work on the cables is to take <em>six weeks</em>.</p><figure><img src="a.jpg"><figcaption>The bridge in May.</figcaption></figure>
+    <p>Buses will go by way of the tunnel &amp; ferries will run until midnight.</p></main>
+    <aside class="sidebar"><h3>Related</h3><ul><li><a href="/1">Tunnel reopens</a></li><li><a href="/2">Ferry timetable</a></li></ul></aside>
+    <section id="comments"><div class="comment"><p>About time, the thing has been rusting for years.</p></div></section>
+    <footer><p>&copy; 2024 The Harbour Post. All rights reserved.</p></footer></body></html>""":
+    ["Harbour bridge to close for repairs", "By Ann Writer", "The bridge in May.", "The bridge over the harbour will be closed to cars from Monday, the council said on Friday. Work on the cables is to take six weeks.", "Buses will go by way of the tunnel & ferries will run until midnight."],
+    """<!doctype html><title>Soup</title><header><h2>Kitchen notes</h2><nav><ul><li><a href=/s>Soups</a><li><a href=/b>Bread</a></ul></nav></header>
+    <article class="post"><h1>Leek soup</h1><p>Wash the leeks well; sand hides between the leaves.<h2>What you need</h2><ul><li>Three leeks of middle size</li><li>Two large potatoes, peeled</li><li>A litre of stock</li></ul>
+    <p>Cook all of it for half an hour and <b>stir now and then</b>.</article>
+    <div class="ad">Buy knives that never need a whetstone, now at half the price!</div><form class="newsletter"><label>Your address</label><input><button>Subscribe</button></form><footer>Made with butter</footer>""":
+    ["Leek soup", "Wash the leeks well; sand hides between the leaves.", "What you need", "Three leeks of middle size", "Two large potatoes, peeled", "A litre of stock", "Cook all of it for half an hour and stir now and then."],
+    """<body><noscript>Please enable JavaScript to use all functions of this site.</noscript><div class="menu"><ul><li><a href="#">Start</a></li><li><a href="#">Docs</a></li></ul></div>
+    <div class="content"><h1>Sorting a list</h1><p>The list is cut in two until a part has one element only.</p><pre>merge(left, right) gives one list of both</pre><blockquote>It is the oldest of the fast methods.</blockquote>
+    <p>Its time grows as n log n, in the worst case too.</p></div><div class="footer">Terms | Privacy</div><script>var x = "<p>no</p>";</script></body>""":
+    ["Sorting a list", "The list is cut in two until a part has one element only.", "merge(left, right) gives one list of both", "It is the oldest of the fast methods.", "Its time grows as n log n, in the worst case too."],
+}
+
+
+def test_pages_that_the_generator_did_not_make():
+    crf = html_text.trained()
+    right = found = wanted = 0
+    for page, want in PAGES.items():
+        got = html_text.main_text(crf, page).split("\n")
+        right += len(set(got) & set(want))
+        found += len(got)
+        wanted += len(want)
+    assert right / found >= 0.9 and right / wanted >= 0.9, (right, found, wanted)
