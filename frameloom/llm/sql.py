@@ -1,7 +1,4 @@
-"""DuckDB SQL for those queries that SQL can express.
-
-That of op8_url_filter has the template tree to a depth of three segments; the pages have two.
-"""
+"""DuckDB SQL for those queries that SQL can express."""
 
 OP1 = r"""
 WITH sized AS (
@@ -70,7 +67,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d
 """
 
 OP8 = r"""
-WITH cut AS (SELECT page_id, coalesce(url, '') AS u, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 raw AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS host FROM cut),
 parts AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(rest, length(host) + 1), '^([^?#]*)', 1) AS path FROM raw),
@@ -82,34 +79,26 @@ fits AS (SELECT *, CASE
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts),
 ruled AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
   regexp_replace(path, '[0-9]+', '#', 'g') AS key FROM fits),
-tree0 AS (SELECT host, key, list_filter(string_split(key, '/'), lambda x: x <> '') AS segs, count(*) AS n, count(said) AS lab,
-  count(*) FILTER (said = 'block') AS bad, '' AS done FROM ruled GROUP BY ALL),
-child0 AS (SELECT host, done, segs[1] AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM tree0 WHERE len(segs) > 0 GROUP BY ALL),
-node0 AS (SELECT host, done, count(*) AS kids, sum(n) AS n_all, sum(lab) AS lab_all, sum(bad) AS bad_all FROM child0 GROUP BY ALL),
-rate0 AS (SELECT c.*, kids, n_all, (bad_all + 0.5) / (lab_all + 1.0)::DOUBLE AS rate FROM child0 c JOIN node0 USING (host, done)),
-kind0 AS (SELECT host, done, seg, CASE WHEN (kids >= 8 AND kids >= 0.2 * n_all) OR (kids > 1 AND (lab = 0
-    OR abs(bad - lab * rate) / sqrt(greatest(lab * rate * (1 - rate), 1e-9)) < 2.0)) THEN '*' ELSE seg END AS turn FROM rate0),
-tree1 AS (SELECT t.host, t.key, t.segs, t.n, t.lab, t.bad, CASE WHEN len(t.segs) > 0 THEN t.done || '/' || turn ELSE t.done END AS done
-  FROM tree0 t LEFT JOIN kind0 k ON k.host = t.host AND k.done = t.done AND k.seg = t.segs[1]),
-child1 AS (SELECT host, done, segs[2] AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM tree1 WHERE len(segs) > 1 GROUP BY ALL),
-node1 AS (SELECT host, done, count(*) AS kids, sum(n) AS n_all, sum(lab) AS lab_all, sum(bad) AS bad_all FROM child1 GROUP BY ALL),
-rate1 AS (SELECT c.*, kids, n_all, (bad_all + 0.5) / (lab_all + 1.0)::DOUBLE AS rate FROM child1 c JOIN node1 USING (host, done)),
-kind1 AS (SELECT host, done, seg, CASE WHEN (kids >= 8 AND kids >= 0.2 * n_all) OR (kids > 1 AND (lab = 0
-    OR abs(bad - lab * rate) / sqrt(greatest(lab * rate * (1 - rate), 1e-9)) < 2.0)) THEN '*' ELSE seg END AS turn FROM rate1),
-tree2 AS (SELECT t.host, t.key, t.segs, t.n, t.lab, t.bad, CASE WHEN len(t.segs) > 1 THEN t.done || '/' || turn ELSE t.done END AS done
-  FROM tree1 t LEFT JOIN kind1 k ON k.host = t.host AND k.done = t.done AND k.seg = t.segs[2]),
-child2 AS (SELECT host, done, segs[3] AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM tree2 WHERE len(segs) > 2 GROUP BY ALL),
-node2 AS (SELECT host, done, count(*) AS kids, sum(n) AS n_all, sum(lab) AS lab_all, sum(bad) AS bad_all FROM child2 GROUP BY ALL),
-rate2 AS (SELECT c.*, kids, n_all, (bad_all + 0.5) / (lab_all + 1.0)::DOUBLE AS rate FROM child2 c JOIN node2 USING (host, done)),
-kind2 AS (SELECT host, done, seg, CASE WHEN (kids >= 8 AND kids >= 0.2 * n_all) OR (kids > 1 AND (lab = 0
-    OR abs(bad - lab * rate) / sqrt(greatest(lab * rate * (1 - rate), 1e-9)) < 2.0)) THEN '*' ELSE seg END AS turn FROM rate2),
-tree3 AS (SELECT t.host, t.key, t.segs, t.n, t.lab, t.bad, CASE WHEN len(t.segs) > 2 THEN t.done || '/' || turn ELSE t.done END AS done
-  FROM tree2 t LEFT JOIN kind2 k ON k.host = t.host AND k.done = t.done AND k.seg = t.segs[3]),
-whole AS (SELECT CASE WHEN sum(lab) > 0 THEN sum(bad) / sum(lab)::DOUBLE ELSE 0 END AS share FROM tree3),
-hosts AS (SELECT host, (sum(bad) + 4.0::DOUBLE * any_value(share)) / (sum(lab) + 4.0::DOUBLE) AS prior FROM tree3, whole GROUP BY host),
-pure AS (SELECT host, done, (sum(bad) + 4.0::DOUBLE * any_value(prior)) / (sum(lab) + 4.0::DOUBLE) AS purity FROM tree3 JOIN hosts USING (host) GROUP BY host, done)
-SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict, t.done AS template, purity
-FROM ruled r JOIN tree3 t ON t.host = r.host AND t.key = r.key JOIN pure p ON p.host = t.host AND p.done = t.done
+leaf AS (SELECT host, key, list_filter(string_split(key, '/'), lambda x: x <> '') AS segs, count(*) AS n, count(said) AS lab,
+  count(*) FILTER (said = 'block') AS bad FROM ruled GROUP BY ALL),
+tree AS (
+  SELECT host, key, segs, n, lab, bad, 0 AS d, '' AS done, false AS ended FROM leaf
+  UNION ALL
+  SELECT host, key, segs, n, lab, bad, d + 1, CASE WHEN keys = 1 THEN done || '/' || array_to_string(segs[d + 1:], '/')
+      WHEN (kids >= 8 AND kids >= 0.2 * n_all)
+        OR (kids > 1 AND CASE WHEN c_lab > 0 AND lab_all > c_lab THEN error = 0 OR abs(c_bad / c_lab - (bad_all - c_bad) / (lab_all - c_lab)) < 2 * error ELSE lab_all = 0 END)
+      THEN done || '/*' ELSE done || '/' || seg END, keys = 1
+  FROM (SELECT *, sqrt(bad_all / lab_all * (1 - bad_all / lab_all) * (1 / c_lab + 1 / (lab_all - c_lab))) AS error
+    FROM (SELECT *, max(place) OVER node AS kids, count(*) OVER node AS keys, sum(n) OVER node AS n_all,
+        (sum(lab) OVER node)::DOUBLE AS lab_all, (sum(bad) OVER node)::DOUBLE AS bad_all,
+        (sum(lab) OVER child)::DOUBLE AS c_lab, (sum(bad) OVER child)::DOUBLE AS c_bad
+      FROM (SELECT *, segs[d + 1] AS seg, dense_rank() OVER (PARTITION BY host, done ORDER BY segs[d + 1]) AS place FROM tree WHERE NOT ended AND len(segs) > d)
+      WINDOW node AS (PARTITION BY host, done), child AS (PARTITION BY host, done, seg)))),
+made AS (SELECT host, key, lab, bad, done AS template FROM tree WHERE ended OR len(segs) = d),
+hosts AS (SELECT host, (sum(bad) + 1.0::DOUBLE) / (sum(lab) + 4.0::DOUBLE) AS host_share FROM made GROUP BY host),
+pure AS (SELECT host, template, sum(lab) AS t_lab, (sum(bad) + 4.0::DOUBLE * any_value(host_share)) / (sum(lab) + 4.0::DOUBLE) AS purity FROM made JOIN hosts USING (host) GROUP BY host, template)
+SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN t_lab > 0 AND purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity
+FROM ruled r JOIN made t ON t.host = r.host AND t.key = r.key JOIN pure p ON p.host = t.host AND p.template = t.template
 """
 
 SQL = {"op1_mixing": OP1, "op2_exact_dedup": OP2, "op3_ngram_jaccard": OP3, "op8_url_filter": OP8}
