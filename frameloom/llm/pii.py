@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field for the mentions that they miss.
 
 Mentions that may be personal data (runs of digits and separators, addresses written out) are the nodes of a
-document's graph. Neighbours share a chain potential; mentions of the same or similar digits or address, however
-far apart, share a skip potential. Loopy sum-product messages make labels agree over the document, so a number
-that one place names plainly is found where it is written in another form. Weights are trained by
-pseudo-likelihood on documents made with labels.
+document's graph. What the fixed patterns find is observed; of the other mentions each may have the labels that its
+form allows (a card number passes Luhn, a phone number has 9 to 15 digits). Neighbours share a chain potential;
+mentions of the same or similar digits or address, however far apart, share a skip potential. Loopy sum-product
+messages make labels agree over the document, so a number that one place names plainly is found where it is written
+in another form; nothing but the beliefs decides. Weights are trained by pseudo-likelihood on documents made with
+labels.
 """
 
 from __future__ import annotations
@@ -29,9 +31,15 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Candidates of the method: 7 digits or more with single or double separators; addresses with words for signs.
+#: Candidates of the method: 7 digits or more with single or double separators; addresses with words or brackets for
+#: signs. Labels of host names have at most 63 letters, names have 64 and hosts 126 parts (RFC 1035, RFC 5321).
 _RUN = re.compile(r"\+?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9](?:[\x20().-]{0,2}[0-9])++")
-_SPELT = re.compile(r"([A-Za-z0-9][A-Za-z0-9._+-]{0,63})\s?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\s?([A-Za-z0-9-]{1,63}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63})+)", re.I)
+_DOT = r"(?:\x20?[(\[{](?:dot|\.)[)\]}]\x20?|\x20dot\x20)"
+_AT = re.compile(r"\s?[(\[{](?:at|@)[)\]}]\s?|\x20at\x20", re.I)
+_HOST_PART = re.compile(rf"[A-Za-z0-9-]{{1,63}}+(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}+){{1,126}}", re.I)
+_NAME_PART = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._+-]{{0,63}}(?:{_DOT}[A-Za-z0-9._+-]{{1,64}})*\Z", re.I)
+_FOUR = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\x20\.\x20|\x20\.|\.\x20)[0-9]{{1,3}}){{3}}(?![0-9]|\.[0-9])", re.I)
+_DOTS = re.compile(_DOT, re.I)
 _CUE = re.compile(r"(tel|phone|call|mobile|fax|cell|whatsapp)|(card|visa|credit|amex|pay)|(\bip\b|host|server|addr)|(mail|contact|write)|(order|invoice|isbn|ref|no\.|id|serial|date|version)", re.I)
 _NON_DIGIT = re.compile(r"[^0-9]+")
 
@@ -83,67 +91,100 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 class Mention:
     start: int
     end: int
-    form: str  # digits, or the address with its signs
+    form: str  # digits, an address with its signs, or numbers with dots
     base: str | None
+    shape: str  # run, spelt or dotted
 
+    def allowed(self) -> np.ndarray:
+        """Which of LABELS the mention may have: its own if observed, else those that its form fits."""
+        if self.base:
+            return np.array([k == self.base for k in LABELS])
+        if self.shape == "spelt":
+            return np.array([True, True, False, False, False])
+        if self.shape == "dotted":
+            return np.array([True, False, True, False, False])
+        n = len(self.form)
+        return np.array([True, False, False, 14 <= n <= 19 and luhn(self.form), 9 <= n <= 15])
 
-def _plain(m: re.Match) -> str:
-    host = re.sub(r"\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\x20dot\x20", ".", m[2], flags=re.I)
-    return f"{m[1]}@{host}".lower()
+
+def _spelt(text: str):
+    """Addresses around the words or brackets that stand for their sign."""
+    for m in _AT.finditer(text):
+        host = _HOST_PART.match(text, m.end())
+        name = _NAME_PART.search(text, max(0, m.start() - 200), m.start()) if host else None
+        if name:
+            yield Mention(name.start(), host.end(), f"{_DOTS.sub('.', name[0])}@{_DOTS.sub('.', host[0])}".lower(), None, "spelt")
 
 
 def mentions(text: str, base) -> list[Mention]:
-    """Base spans and candidates that touch none of them, in order."""
-    out = [Mention(s, e, text[s:e].lower() if k == "email" else _NON_DIGIT.sub("." if k == "ip" else "", text[s:e]), k) for s, e, k in base]
+    """Base spans and candidates that touch none of them, in order; of candidates that overlap the first stays."""
+    shape = {"email": "spelt", "ip": "dotted"}
+    out = [Mention(s, e, text[s:e].lower() if k == "email" else _NON_DIGIT.sub("." if k == "ip" else "", text[s:e]), k, shape.get(k, "run")) for s, e, k in base]
     taken = sorted((s, e) for s, e, _ in base)
-    found = []
+    found = list(_spelt(text))
     for m in _RUN.finditer(text):
         if m.end() - m.start() >= 7 and len(digits := _NON_DIGIT.sub("", m[0])) >= 7:
-            found.append(Mention(m.start(), m.end(), digits, None))
-    if " at " in text or "at)" in text or "at]" in text or "at}" in text or " AT " in text or "AT)" in text or "AT]" in text:
-        found += [Mention(m.start(), m.end(), _plain(m), None) for m in _SPELT.finditer(text)]
-    i = 0
-    for f in sorted(found, key=lambda f: f.start):
+            found.append(Mention(m.start(), m.end(), digits, None, "run"))
+    for m in _FOUR.finditer(text):
+        parts = _NON_DIGIT.split(m[0])
+        if all(int(p) <= 255 for p in parts):
+            found.append(Mention(m.start(), m.end(), ".".join(parts), None, "dotted"))
+    i = free = 0
+    for f in sorted(found, key=lambda f: (f.start, f.shape)):
         while i < len(taken) and taken[i][1] <= f.start:
             i += 1
-        if (i == len(taken) or taken[i][0] >= f.end) and (not out or not any(o.start < f.end and f.start < o.end for o in out[-1:] if o.base is None)):
+        if (i == len(taken) or taken[i][0] >= f.end) and f.start >= free:
             out.append(f)
+            free = f.end
     return sorted(out, key=lambda f: (f.start, f.end))
 
 
 def features(text: str, m: Mention) -> list[str]:
-    raw, digits = text[m.start : m.end], _NON_DIGIT.sub("", m.form)
-    out = ["bias"]
-    if "@" in m.form:
-        out.append("spelt" if m.base is None else "address")
+    raw = text[m.start : m.end]
+    out = ["bias:" + m.shape]
+    if m.shape == "spelt":
+        out.append("sign:" + ("bracket" if re.search(r"[(\[{]", raw) else "word"))
+        out.append("dots:" + ("plain" if not _DOTS.search(raw) else "spelt"))
+        last = m.form.rsplit(".", 1)[-1]
+        out.append("end:" + ("known" if last in _ENDS else "other"))
+    elif m.shape == "dotted":
+        out.append("dots:" + ("bracket" if re.search(r"[(\[{]", raw) else "word" if "dot" in raw.lower() else "spaced"))
     else:
-        out += [f"digits:{min(len(digits), 20)}", f"luhn:{len(digits) >= 13 and luhn(digits)}", f"plus:{raw[0] == '+'}"]
+        out += [f"digits:{min(len(m.form), 20)}", f"luhn:{len(m.form) >= 14 and luhn(m.form)}", f"plus:{raw[0] == '+'}"]
         out += [f"sep:{c}" for c in sorted({c for c in raw if not c.isdigit()})] or ["sep:none"]
-        parts = raw.split(".")
-        if len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts):
-            out.append("dotted")
-    if m.base:
-        out.append("base:" + m.base)
+        out.append("groups:" + "-".join(str(min(len(g), 5)) for g in _NON_DIGIT.split(raw)[:6] if g))
     for hit in _CUE.finditer(text[max(0, m.start - 24) : m.start]):
-        out.append(f"cue:{hit.lastindex}")
+        out.append(f"cue:{hit.lastindex}:{m.shape}")
     return out
 
 
 def skips(nodes: list[Mention]) -> list[tuple[int, int]]:
-    """Links of each mention to the one before it of the same form, or of the same last nine digits."""
-    out, last = set(), {}
+    """Links of each mention to the one before it and to the observed one before or after it that have the same form
+    or the same last nine digits."""
+    out, last, seen, open_ = set(), {}, {}, {}
     for i, m in enumerate(nodes):
         keys = [m.form]
-        digits = _NON_DIGIT.sub("", m.form)
-        if "@" not in m.form and len(digits) >= 9:
-            keys.append("tail " + digits[-9:])
+        if m.shape == "run" and len(m.form) >= 9:
+            keys.append("tail " + m.form[-9:])
         for key in keys:
             if key in last:
                 out.add((last[key], i))
+            if key in seen:
+                out.add((seen[key], i))
+            if m.base:
+                out.update((j, i) for j in open_.pop(key, ()))
+                seen[key] = i
+            elif key not in seen:
+                open_.setdefault(key, []).append(i)
             last[key] = i
     return sorted(out)
 
 
+#: Ends of host names that most addresses have (fixed values).
+_ENDS = frozenset(["com", "org", "net", "edu", "gov", "info", "io", "de", "uk", "fr", "es", "it", "eu", "ch", "at", "us"])
+_NEVER = -1e6
+
+
 class SkipChain:
     """Weights of (feature, label), and tables of chain and skip potentials over two labels."""
 
@@ -152,17 +193,17 @@ class SkipChain:
         self.chain = np.zeros((5, 5))
         self.skip = np.zeros((5, 5))
 
-    def unary(self, feats) -> np.ndarray:
+    def unary(self, feats, masks) -> np.ndarray:
         zero = np.zeros(5)
-        return np.array([sum((self.weights.get(f, zero) for f in fs), zero) for fs in feats])
+        return np.array([sum((self.weights.get(f, zero) for f in fs), np.where(mask, 0.0, _NEVER)) for fs, mask in zip(feats, masks, strict=True)])
 
     def fit(self, docs, epochs: int = 20, rate: float = 0.2, decay: float = 1e-3, seed: int = 2) -> SkipChain:
-        """Pseudo-likelihood: each label given its neighbours' labels. ``docs``: (features, labels, skip links)."""
+        """Pseudo-likelihood: each label given its neighbours' labels. ``docs``: (features, masks, labels, skip links)."""
         rng = random.Random(seed)
         square: dict = {}
         for _ in range(epochs):
             rng.shuffle(docs)
-            for feats, ys, links in docs:
+            for feats, masks, ys, links in docs:
                 near = [[] for _ in ys]
                 for i in range(1, len(ys)):
                     near[i].append((self.chain, "chain", i - 1, True))
@@ -170,7 +211,9 @@ class SkipChain:
                 for i, j in links:
                     near[j].append((self.skip, "skip", i, True))
                     near[i].append((self.skip, "skip", j, False))
-                for fs, y, others, u in zip(feats, ys, near, self.unary(feats), strict=True):
+                for fs, mask, y, others, u in zip(feats, masks, ys, near, self.unary(feats, masks), strict=True):
+                    if mask.sum() == 1:
+                        continue
                     for table, _, o, after in others:
                         u = u + (table[ys[o]] if after else table[:, ys[o]])
                     g = -np.exp(u - np.logaddexp.reduce(u))
@@ -189,9 +232,12 @@ class SkipChain:
                         cells += rate * gt / np.sqrt(s)
         return self
 
-    def marginals(self, feats, links, rounds: int = 12, damp: float = 0.3) -> np.ndarray:
-        """Beliefs after rounds of damped sum-product messages along chain and skip links."""
-        u = self.unary(feats)
+    def marginals(self, feats, masks, links, settled: float = 1e-4, damp: float = 0.3) -> np.ndarray:
+        """Beliefs by damped sum-product messages along chain and skip links, until none moves by over ``settled``.
+
+        A message needs a round for each link on its way, so rounds are bounded by the number of mentions and 50.
+        """
+        u = self.unary(feats, masks)
         n = len(u)
         edges = [(i - 1, i, 0) for i in range(1, n)] + [(i, j, 1) for i, j in links]
         if edges:
@@ -202,43 +248,62 @@ class SkipChain:
             e = len(a)
             back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
             sent = np.zeros((2 * e, 5))
-            for _ in range(rounds):
+            for _ in range(n + 50):
                 belief = u.copy()
                 np.add.at(belief, target, sent)
-                new = np.logaddexp.reduce((belief[source] - sent[back])[:, :, None] + tables, axis=1)
-                new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-                sent = damp * sent + (1 - damp) * new
+                new = _logsum((belief[source] - sent[back])[:, :, None] + tables)
+                new -= _logsum(new[:, :, None])
+                new = damp * sent + (1 - damp) * new
+                moved = np.abs(new - sent).max()
+                sent = new
+                if moved < settled:
+                    break
             np.add.at(u, target, sent)
         return np.exp(u - np.logaddexp.reduce(u, axis=1, keepdims=True))
 
 
-def labelled_documents(n: int = 400, seed: int = 5):
-    """Documents made with labelled mentions in plain and other forms, and with numbers that are nobody's."""
+def _logsum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials over axis 1."""
+    top = x.max(axis=1, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
+
+
+def labelled_documents(n: int = 400, seed: int = 5, texts: list | None = None):
+    """Documents made with labelled mentions in plain and other forms, and with numbers and words that are nobody's.
+
+    Gives (features, masks, labels, links) of each; ``texts``, if given, gets each (text, [(start, end, kind)]).
+    """
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    filler = lambda: " ".join("".join(rng.choice(("th", "re", "an", "on", "st", "ou")) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(2, 12)))
+    word = lambda: "".join(rng.choice(("th", "re", "an", "on", "st", "ou")) for _ in range(rng.randint(1, 4)))
+    filler = lambda: " ".join(word() for _ in range(rng.randint(2, 12)))
     out = []
     for _ in range(n):
         bits: list[tuple[str, str | None]] = []
         for _ in range(rng.randint(1, 4)):
-            kind = rng.choice((*KINDS, "none", "none"))
+            kind = rng.choice((*KINDS, "none", "none", "none"))
             if kind == "phone":
                 c, area, rest = rng.choice(("1", "33", "49", "34", "44")), digits(3), digits(7)
                 plain = rng.choice((f"+{c} {area} {rest[:3]} {rest[3:]}", f"+{c}-{area}-{rest[:3]}-{rest[3:]}", f"+{c} ({area}) {rest[:3]}-{rest[3:]}"))
-                other = rng.choice((f"({area}) {rest[:3]}-{rest[3:]}", f"{c}{area}{rest}", f"{area}.{rest[:3]}.{rest[3:]}", f"00{c} {area} {rest}"))
+                other = rng.choice((f"({area}) {rest[:3]}-{rest[3:]}", f"{c}{area}{rest}", f"{area}.{rest[:3]}.{rest[3:]}", f"00{c} {area} {rest}", f"{c}-{area}-{rest[:3]}-{rest[3:]}", f"{area}-{rest[:3]}-{rest[3:]}"))
                 forms = [(plain, kind), (other, kind)]
-                if rng.random() < 0.2:
-                    forms = [("call " + other, kind)]
+                if rng.random() < 0.3:
+                    forms = [(rng.choice(("call ", "phone: ", "tel. ", "mobile ")) + other, kind)]
             elif kind == "card":
                 number = digits(15)
                 number += next(d for d in "0123456789" if luhn(number + d))
-                forms = [(rng.choice((number, " ".join(number[i : i + 4] for i in range(0, 16, 4)))), kind), (rng.choice((".".join(number[i : i + 4] for i in range(0, 16, 4)), "  ".join(number[i : i + 4] for i in range(0, 16, 4)))), kind)]
+                fours = [number[i : i + 4] for i in range(0, 16, 4)]
+                forms = [(rng.choice((number, " ".join(fours))), kind), (rng.choice((".".join(fours), "  ".join(fours))), kind)]
             elif kind == "email":
-                name, host = "".join(rng.choice("abcdefgh") for _ in range(6)), "".join(rng.choice("mnopqr") for _ in range(5))
-                forms = [(f"{name}@{host}.com", kind), (rng.choice((f"{name} [at] {host} [dot] com", f"{name} (at) {host}.com", f"{name} at {host} dot com")), kind)]
+                name, host = ".".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.choice((1, 1, 2)))), "".join(rng.choice("mnopqr") for _ in range(5))
+                end, at, dot = rng.choice(("com", "org", "net", "de", "example")), rng.choice((" [at] ", " (at) ", "(at)", " at ", " AT ")), rng.choice((".", " dot ", " [dot] ", "(dot)", "."))
+                spelt = (name.replace(".", dot) + at + host + dot + end) if dot != "." or at.strip() != at.strip("()[]") or end != "example" else f"{name} at {host} dot {end}"
+                forms = [(f"{name}@{host}.{end}", kind), (rng.choice(("", "", "mail ", "write to ")) + spelt, kind)]
             elif kind == "ip":
-                p = [str(rng.randint(1, 255)) for _ in range(4)]
-                forms = [(".".join(p), kind)]
+                p = [str(rng.randint(0, 255)) for _ in range(4)]
+                forms = [(".".join(p), kind), (rng.choice(("", "server ", "host ", "")) + rng.choice(("[.]", " . ", "(dot)", " dot ", "[dot]", "(.)")).join(p), kind)]
+            elif rng.random() < 0.4:  # words around "at" that are no address, numbers with points that are none
+                forms = [(rng.choice((f"{word()} at {word()}.{word().capitalize()}", f"looked at {word()}.{word()}", f"version {rng.randint(0, 9)} . {rng.randint(0, 9)} . {rng.randint(0, 9)} . {rng.randint(0, 9)}", f"{rng.randint(1, 9)}. {rng.randint(1, 9)}. {rng.randint(1, 12)}. {rng.randint(1, 20)}")), None)]
             else:
                 forms = [(rng.choice(("", "order ", "invoice ", "ref ", "id ")) + rng.choice((digits(7), digits(8), digits(10), digits(12), digits(16), f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(4)}-{digits(4)}", f"{digits(3)}-{digits(10)}")), None)]
                 forms *= rng.choice((1, 1, 2))
@@ -248,15 +313,18 @@ def labelled_documents(n: int = 400, seed: int = 5):
         text, marks = filler(), []
         for piece, kind in bits:
             at = len(text) + 1
-            text += " " + piece + rng.choice((" ", ", ", ". ")) + filler()
+            text += " " + piece + rng.choice((" ", ", ", "; ")) + filler()
             marks.append((at, at + len(piece), kind))
         nodes = mentions(text, base_spans(text))
         labels = []
         for m in nodes:
             own = next((k for s, e, k in marks if s <= m.start and m.end <= e), None)
-            labels.append(LABELS.index(m.base or own or "none"))
+            label = LABELS.index(m.base or own or "none")
+            labels.append(label if m.allowed()[label] else 0)
+        if texts is not None:
+            texts.append((text, [(s, e, k) for s, e, k in marks if k]))
         if nodes:
-            out.append(([features(text, m) for m in nodes], labels, skips(nodes)))
+            out.append(([features(text, m) for m in nodes], [m.allowed() for m in nodes], labels, skips(nodes)))
     return out
 
 
@@ -265,28 +333,14 @@ def trained(documents: int = 400) -> SkipChain:
     return SkipChain().fit(labelled_documents(documents))
 
 
-def _sound(kind: str, m: Mention) -> bool:
-    digits = _NON_DIGIT.sub("", m.form)
-    if kind == "email":
-        return "@" in m.form
-    if "@" in m.form or kind == "ip":
-        return False
-    return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
-
-
 def all_spans(text: str, base, crf: SkipChain, least: float) -> list[tuple[int, int, str]]:
-    """``base`` and the mentions whose best label has a belief of at least ``least`` and a form that fits it."""
+    """``base`` and the other mentions whose best label is a kind and has a belief of at least ``least``."""
     nodes = mentions(text, base)
-    if all(m.base for m in nodes):
+    masks = [m.allowed() for m in nodes]
+    if all(mask.sum() == 1 for mask in masks):
         return base
-    links = skips(nodes)
-    belief = crf.marginals([features(text, m) for m in nodes], links)
-    linked = {i for pair in links for i in pair}
-    more = []
-    for i, (m, p) in enumerate(zip(nodes, belief, strict=True)):
-        k = int(p.argmax())
-        if m.base is None and k and p[k] >= least and _sound(LABELS[k], m) and (i in linked or LABELS[k] == "email" or len(_CUE.findall(text[max(0, m.start - 24) : m.start]))):
-            more.append((m.start, m.end, LABELS[k]))
+    belief = crf.marginals([features(text, m) for m in nodes], masks, skips(nodes))
+    more = [(m.start, m.end, LABELS[k]) for m, p, k in zip(nodes, belief, belief.argmax(axis=1), strict=True) if m.base is None and k and p[k] >= least]
     return sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
 
 

@@ -189,8 +189,8 @@ def test_pii_patterns_and_linked_mentions():
     spans = pii.all_spans(text, pii.base_spans(text), crf, 0.9)
     assert [text[s:e] for s, e, _ in spans] == ["+1 555 123 4567", "1-555-123-4567", "(555) 123-4567"]
     right = total = 0
-    for feats, labels, links in pii.labelled_documents(100, seed=99):
-        right += (crf.marginals(feats, links).argmax(1) == np.array(labels)).sum()
+    for feats, masks, labels, links in pii.labelled_documents(100, seed=99):
+        right += (crf.marginals(feats, masks, links).argmax(1) == np.array(labels)).sum()
         total += len(labels)
     assert right / total > 0.93
 

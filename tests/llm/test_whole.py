@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.llm import html_text, langid, secret_scan
+from frameloom.llm import html_text, langid, pii, secret_scan
 
 
 def test_random_strings_of_every_form_are_found():
@@ -25,8 +25,85 @@ def test_random_strings_of_every_form_are_found():
         keys = ["".join(make()) for _ in range(300)]
         found = sum(secret_scan.random_strings(f"is {k} it", encoding, 2.0) == [(3, 3 + len(k), "random")] for k in keys)
         assert found >= 285, (form, found)
-    names = "getElementsByClassName internationalization HAVE_SYS_PARAM_H TOO_MANY_REQUESTS some_long_variable_name_2 src/main/resources/application Donaudampfschifffahrtsgesellschaft 4952935900253052 2024-01-02-2024-05-06 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    names = "getElementsByClassName internationalization HAVE_SYS_PARAM_H TOO_MANY_REQUESTS some_long_variable_name_2 src/main/resources/application Donaudampfschifffahrtsgesellschaft 4952935900253052 2024-01-02-2024-05-06 SHA1: 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
     assert secret_scan.random_strings(names, encoding, 2.0) == []
+    digest = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"  # a digest that nothing tells from a key
+    assert secret_scan.random_strings(f"use {digest} here", encoding, 2.0) == [(4, 44, "random")]
+    assert secret_scan.random_strings(f"use {digest} here", encoding, 2.0, known=frozenset({digest.lower()})) == []
+    assert secret_scan.random_strings("D41D8CD98F00B204E9800998ECF8427E 9b2f1c34-aaaa-4bbb-8ccc-1234567890ab sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", encoding, 2.0) == []
+    base = [(0, 5, "assign"), (3, 9, "hex"), (20, 30, "hex")]
+    found = [(9, 12, "random"), (13, 21, "random"), (30, 33, "random")]
+    assert secret_scan.merged(base, found) == [*base[:2], found[0], base[2], found[2]]
+
+
+def test_planted_keys_among_words():
+    rng = random.Random(13)
+    encoding = secret_scan._encoding(open(secret_scan.DEFAULT_VOCABULARY, "rb").read())
+    alphabet = string.ascii_letters + string.digits
+    words = "the quick brown fox jumps over a lazy dog internationalization src/main/java/org/example/service some_long_variable_name handleRequestTimeoutException DEFAULT_CONNECTION_TIMEOUT background-color-transition 20240102030405060708".split()
+    hits = found = planted = 0
+    for _ in range(300):
+        bits = rng.choices(words, k=20)
+        keys = ["".join(rng.choices(alphabet + "+/", k=rng.randint(20, 44))) for _ in range(rng.randint(0, 2))]
+        for key in keys:
+            bits.insert(rng.randint(0, len(bits)), key)
+        text = " ".join(bits)
+        got = [text[s:e] for s, e, _ in secret_scan.random_strings(text, encoding, 2.0)]
+        hits += len(set(got) & set(keys))
+        found += len(got)
+        planted += len(keys)
+    assert hits >= 0.9 * planted and hits >= 0.9 * found, (hits, planted, found)
+
+
+def test_vocabulary_that_is_not_there(spark):
+    with pytest.raises(ValueError, match="vocabulary"):
+        secret_scan.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), vocabulary="/nowhere")
+
+
+def test_loopy_beliefs_against_enumeration():
+    rng = np.random.default_rng(14)
+    crf = pii.SkipChain()
+    for loop in (False, True):
+        crf.chain, crf.skip = rng.normal(0, 0.5, (5, 5)), rng.normal(0, 0.5, (5, 5))
+        for _ in range(20):
+            n = int(rng.integers(2, 6))
+            feats = [[f"f{i}"] for i in range(n)]
+            crf.weights = {f"f{i}": rng.normal(0, 1, 5) for i in range(n)}
+            masks = [np.ones(5, bool) if rng.random() < 0.7 else np.arange(5) == rng.integers(5) for _ in range(n)]
+            links = [(0, n - 1)] if loop and n > 2 else []
+            p = np.zeros((n, 5))
+            for ys in itertools.product(range(5), repeat=n):
+                if all(m[y] for m, y in zip(masks, ys)):
+                    w = sum(crf.weights[f"f{i}"][y] for i, y in enumerate(ys)) + sum(crf.chain[a, b] for a, b in itertools.pairwise(ys)) + sum(crf.skip[ys[i], ys[j]] for i, j in links)
+                    p[np.arange(n), ys] += np.exp(w)
+            p /= p.sum(axis=1, keepdims=True)
+            assert np.abs(crf.marginals(feats, masks, links, settled=1e-9) - p).max() < (0.06 if links else 1e-6)
+
+
+def test_planted_personal_data():
+    crf = pii.trained()
+    texts = []
+    pii.labelled_documents(300, seed=99, texts=texts)
+    hits = added = hidden = 0
+    for text, marks in texts:
+        base = pii.base_spans(text)
+        spans = pii.all_spans(text, base, crf, 0.9)
+        assert set(base) <= set(spans)
+        more = [s for s in spans if s not in base]
+        want = [(a, b, k) for a, b, k in marks if not any(a <= s and e <= b for s, e, _ in base)]
+        hits += sum(any(a <= s and e <= b and k == kind for a, b, kind in want) for s, e, k in more)
+        added += len(more)
+        hidden += len(want)
+    assert hits >= 0.9 * added and hits >= 0.9 * hidden, (hits, added, hidden)
+    kinds = {}
+    for text in ("jane dot doe at mail dot com", "server 10[.]0[.]0[.]1 and 10.0.0.1", "+1 555 123 4567 or 1-555-123-4567", "4111 1111 1111 1111 or 4111.1111.1111.1111"):
+        base = pii.base_spans(text)
+        kinds[text] = [(text[s:e], k) for s, e, k in pii.all_spans(text, base, crf, 0.9) if (s, e, k) not in base]
+    assert list(kinds.values()) == [[("jane dot doe at mail dot com", "email")], [("10[.]0[.]0[.]1", "ip")], [("1-555-123-4567", "phone")], [("4111.1111.1111.1111", "card")]]
+    plain = "+1 555 123 4567 " + " and 1-555-123-4567 then some more words" * 40  # the evidence reaches the last of them
+    assert len(pii.all_spans(plain, pii.base_spans(plain), crf, 0.9)) == 41
+    for text in ("we met at noon.Then left", "look at house.garden now", "version 1 . 2 . 3 . 4", "order 5559988776"):
+        assert pii.all_spans(text, pii.base_spans(text), crf, 0.9) == []
 
 
 def test_copies_leave_the_language_sample_whole(spark, monkeypatch):
