@@ -61,11 +61,11 @@ def _point(s: np.ndarray) -> bytes:
     return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
 
 
-def shared_texts(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int, block_bytes: int) -> DataFrame:
+def shared_texts(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int, block_bytes: int, fan_bits: int) -> DataFrame:
     """For each row: its id, a hash of its text, the size of its set; for a shared text also digest, point, n-grams
     that other texts have (packed, ``shared``) and the prefix among them (``prefix``)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    blocks = counting.into_blocks(rows, "text", block_bytes)
+    blocks = counting.into_blocks(rows, "text", block_bytes, fan_bits)
     bits = blocks.bits
 
     def emit(table):
@@ -97,7 +97,7 @@ def shared_texts(docs: DataFrame, id_col: str, text_col: str, n_words: int, perc
     kind = rows.schema["doc_id"].dataType
     out = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("point", pa.binary()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
     schema = f"doc_id {kind.simpleString()}, text_hash long, n long, digest binary, point binary, shared binary, prefix array<long>"
-    return written(blocks.rows.groupBy("block").cogroup(counts.drop("all", "distinct").groupBy("block")).applyInArrow(read, schema))
+    return written(blocks.rows.groupBy("block").cogroup(counts.filter("block >= 0").drop("all", "distinct").groupBy("block")).applyInArrow(read, schema))
 
 
 class RTree:
@@ -228,7 +228,7 @@ def _open(posts: DataFrame, comps: DataFrame) -> DataFrame:
     return rooted.join(split, "token")
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, block_bytes: int = 4 << 20) -> DataFrame:
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, block_bytes: int = 4 << 20, fan_bits: int = 10) -> DataFrame:
     """A row for each row of ``docs``: doc_id, text_hash, n_shingles, digest, component_id.
 
     Words are runs without white space, A-Z lower-cased. Two texts link when 100 * intersection >= percent * union
@@ -237,7 +237,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keep their rows; a null id is passed over in the minimum and is null only if all ids of its component are.
     ``digest`` is null for texts that too few others share n-grams with. An empty table gives no rows.
     """
-    texts = shared_texts(docs, id_col, text_col, n_words, percent, block_bytes)
+    texts = shared_texts(docs, id_col, text_col, n_words, percent, block_bytes, fan_bits)
     mine = texts.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest")
     classes = texts.filter("digest IS NOT NULL").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "point", "shared", "prefix")))
     classes = written(classes)

@@ -106,8 +106,9 @@ def test_lm_scores(spark):
     texts = [sentence(rng, rng.choice((0, 1, 5, 60))) for _ in range(80)]
     train = [i % 5 != 0 for i in range(80)]
     docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, train))], "doc_id long, text string, train boolean").repartition(4)
-    for order in (2, 3):
-        out = {r.doc_id: r for r in lm_scoring.score(docs, order=order, mu=10.0, block_bytes=2000).collect()}
+    for order, fan_bits in ((2, 10), (3, 2), (4, 1)):
+        mu = (10.0, 4.0, 2.0)
+        out = {r.doc_id: r for r in lm_scoring.score(docs, order=order, mu=mu, block_bytes=2000, fan_bits=fan_bits, segment=7).collect()}
         toks = [[*WORD.findall(t), None] for t in texts]
         grams = [collections.Counter() for _ in range(order + 1)]
         for t, k in zip(toks, train):
@@ -121,7 +122,8 @@ def test_lm_scores(spark):
             if not history:
                 return (grams[1][(w,)] + 0.5) / (total + 0.5 * (v + 1))
             before = grams[len(history)][history]
-            return (grams[len(history) + 1][(*history, w)] + 10.0 * p(history[1:], w)) / (before + 10.0)
+            m = mu[len(history) - 1]  # noqa: B023
+            return (grams[len(history) + 1][(*history, w)] + m * p(history[1:], w)) / (before + m)
 
         for i, t in enumerate(toks):
             padded = [None, *t]
