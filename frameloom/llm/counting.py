@@ -11,8 +11,8 @@ rows at every level, the rows grow with the corpus times the (two or three) leve
 keys at any size. A key that every text has is sent once for each block and then once for each merged run; pieces
 are even because hashes are, and nothing is gathered in one place.
 
-Two keys count as one if they agree in the bits of all cuts and the next ``8 * key_bytes`` bits: with the first cut of 10
-bits, 58 bits for 6 bytes. Among n distinct keys a key is hit by another with a chance of about n / 2^58.
+Two keys count as one if they agree in the bits of the first cut and the next ``8 * key_bytes`` bits; ``wide_enough``
+gives a width at which that befalls at most one key in 2^17.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from frameloom.session import written
 class Blocks:
     rows: DataFrame  # block and the columns asked for
     n: int
+    total: int  # bytes of text
     fan_bits: int = 10
 
     @property
@@ -39,12 +40,17 @@ class Blocks:
         """Bits of the first cut: as many pieces as blocks, at most 2 ** fan_bits."""
         return min(self.fan_bits, max(0, (self.n - 1).bit_length()))
 
+    @property
+    def wide_enough(self) -> int:
+        """Bytes of a key at which at most one in 2 ** 17 agrees with another, were there one for each byte of text."""
+        return min(8, max(1, -(-(self.total.bit_length() + 17 - self.bits) // 8)))
+
 
 def into_blocks(docs: DataFrame, text_col: str, block_bytes: int, fan_bits: int = 10) -> Blocks:
     """``docs`` with ``block``, by a hash of all columns, so that blocks hold about ``block_bytes`` of text each."""
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     n = max(1, -(-total // block_bytes))
-    return Blocks(docs.withColumn("block", F.pmod(F.xxhash64(*docs.columns), F.lit(n))), n, fan_bits)
+    return Blocks(docs.withColumn("block", F.pmod(F.xxhash64(*docs.columns), F.lit(n))), n, total, fan_bits)
 
 
 def cut(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -54,15 +60,20 @@ def cut(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def pack(keys: np.ndarray, bits: int, width: int) -> bytes:
-    """The leading ``width`` bytes of keys whose first ``bits`` bits are cut away."""
-    low = keys << np.uint64(bits) if bits else keys
-    return (low >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """The leading ``width`` bytes of sorted keys whose first ``bits`` bits are cut away: the first, then differences
+    in as few bytes as the largest needs."""
+    low = (keys << np.uint64(bits) if bits else keys) >> np.uint64(64 - 8 * width)
+    steps = np.diff(low)
+    size = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return low[:1].tobytes() + bytes([size]) + steps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def unpack(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
+def unpack(data: bytes) -> np.ndarray:
+    size = data[8]
+    steps = np.zeros(((len(data) - 9) // size + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8)
+    steps[1:, :size] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, size)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -84,9 +95,9 @@ _TOTALS = pa.schema([("run", pa.int64()), ("kind", pa.int32()), ("piece", pa.int
 _TOTALS_SQL = "run long, kind int, piece long, totals binary, all long, distinct long"
 
 
-def _merged(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct keys of the pieces, their counts, place of each piece's keys among them, where pieces end)."""
-    keys = [unpack(x, width) for x in table.column("keys").to_pylist()]
+    keys = [unpack(x) for x in table.column("keys").to_pylist()]
     sizes = [len(x) for x in keys]
     counts = np.concatenate([widen(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
     keys = np.concatenate(keys)
@@ -104,10 +115,10 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table(dict(zip(schema.names, zip(*rows, strict=True), strict=True)) if rows else {k: [] for k in schema.names}, schema=schema)
 
 
-def _added(pieces: DataFrame, runs: int, fan_bits: int, key_bytes: int, most: int | None) -> DataFrame:
+def _added(pieces: DataFrame, runs: int, fan_bits: int, key_bytes: tuple[int, ...], most: int | None) -> DataFrame:
     """Written (run, kind, piece, totals, all, distinct) for ``pieces`` of ``runs`` runs."""
     def add(table):
-        unique, whole, place, at = _merged(table, key_bytes)
+        unique, whole, place, at = _merged(table)
         back = (np.minimum(whole, most) if most else whole)[place]
         n = table.num_rows
         ids = [table.column(c).to_pylist() for c in ("run", "kind", "piece")]
@@ -122,11 +133,11 @@ def _added(pieces: DataFrame, runs: int, fan_bits: int, key_bytes: int, most: in
 
     def merge(key, table):
         up, kind, piece = (k.as_py() for k in key)
-        unique, whole, place, at = _merged(table, key_bytes)
-        left = unique << np.uint64(64 - 8 * key_bytes)
+        unique, whole, place, at = _merged(table)
+        left = unique << np.uint64(64 - 8 * key_bytes[kind])
         ends = cut(left, fan_bits)
         parts = [(j, a, b) for j, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-        own = [(up, kind, piece << fan_bits | j, pack(left[a:b], fan_bits, key_bytes), narrow(whole[a:b]), None, None, None, None) for j, a, b in parts]
+        own = [(up, kind, piece << fan_bits | j, pack(left[a:b], fan_bits, key_bytes[kind]), narrow(whole[a:b]), None, None, None, None) for j, a, b in parts]
         return _table([*own, (up, kind, piece, None, None, table.column("run").to_pylist(), np.diff(at).tolist(), [int(b - a) for _, a, b in parts], place.astype(np.uint32).tobytes())], origin)
 
     grouped = pieces.withColumn("up", F.shiftright("run", fan_bits)).groupBy("up", "kind", "piece")
@@ -150,11 +161,11 @@ def _added(pieces: DataFrame, runs: int, fan_bits: int, key_bytes: int, most: in
     return written(down.unionByName(grand))
 
 
-def totals(blocks: Blocks, emit: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]], key_bytes: int, most: int | None = None) -> DataFrame:
+def totals(blocks: Blocks, emit: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]], key_bytes: tuple[int, ...], most: int | None = None) -> DataFrame:
     """The written table (block, kind, piece, totals, all, distinct).
 
     ``emit`` gets a block's rows and returns for each kind of key its (sorted distinct keys, counts). ``totals`` are
-    those of the block's keys of that kind and piece, cut off at ``most`` if given. The sums of ``all`` and
+    those of the block's keys of that kind (``key_bytes`` has a width for each) and piece, cut off at ``most`` if given. The sums of ``all`` and
     ``distinct`` over a kind are the sum of its counts and its number of keys with a count; rows that hold such sums
     alone have block -1.
     """
@@ -164,7 +175,7 @@ def totals(blocks: Blocks, emit: Callable[[pa.Table], list[tuple[np.ndarray, np.
         out = []
         for kind, (keys, counts) in enumerate(emit(table)):
             at = cut(keys, bits)
-            out += [(key[0].as_py(), kind, j, pack(keys[a:b], bits, key_bytes), narrow(counts[a:b])) for j, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+            out += [(key[0].as_py(), kind, j, pack(keys[a:b], bits, key_bytes[kind]), narrow(counts[a:b])) for j, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
         return _table(out, _PIECES)
 
     packed = blocks.rows.groupBy("block").applyInArrow(send, _PIECES_SQL)

@@ -175,7 +175,7 @@ def score(
         learnt = np.repeat(np.asarray(table.column(train_col)), n)
         return [_distinct(k[h], learnt[h]) for k, h in zip(keys, have, strict=True)]
 
-    counts = counting.totals(blocks, emit, key_bytes=6)
+    counts = counting.totals(blocks, emit, key_bytes=(8, *[blocks.wide_enough] * (order - 1)))  # words are exact
     whole = counts.filter("kind = 0").agg(F.sum("all").alias("n"), F.sum("distinct").alias("v")).first()
     total, vocabulary = whole.n or 0, whole.v or 0
 

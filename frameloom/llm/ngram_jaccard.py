@@ -72,7 +72,7 @@ def shared_texts(docs: DataFrame, id_col: str, text_col: str, n_words: int, perc
         sets = text_sets(table.column("text"), n_words)
         return [np.unique(np.concatenate(sets), return_counts=True)] if sets else []
 
-    counts = counting.totals(blocks, emit, key_bytes=5, most=255)
+    counts = counting.totals(blocks, emit, key_bytes=(blocks.wide_enough,), most=255)
 
     def read(key, table, got):
         sets = text_sets(table.column("text"), n_words)
