@@ -59,7 +59,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word with A-Z lower-cased, number of words of each text).
 
     A word is a run of bytes that are not white space; it never goes on in the next text.
@@ -76,12 +76,19 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     ends = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.diff(ends)
-    place = np.arange(n, dtype=np.int64)
-    place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [n]])))
-    longest = int(place[inside].max()) + 1
-    power = np.ones(max(longest, int(place.max()) + 1), np.uint64)
-    power[1:] = _MULT
-    power = np.multiply.accumulate(power)
-    value = _BYTE_LOW[buf]
-    value *= power[place]
-    return mix64(np.add.reduceat(value, starts)), np.diff(ends)
+    out = np.empty(len(starts), np.uint64)
+    stops = np.append(starts[1:], n)
+    i = 0
+    while i < len(starts):  # a megabyte, or one word, at a time: arrays of words are eight times as large as the text
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + most, "right")))
+        lo, hi = int(starts[i]), int(stops[j - 1])
+        own = starts[i:j] - lo
+        place = np.arange(hi - lo, dtype=np.int64)
+        place -= np.repeat(own, np.diff(np.append(own, hi - lo)))
+        power = np.ones(int(place.max()) + 1, np.uint64)
+        power[1:] = _MULT
+        value = np.multiply.accumulate(power)[place]
+        value *= _BYTE_LOW[buf[lo:hi]]
+        out[i:j] = mix64(np.add.reduceat(value, own))
+        i = j
+    return out, np.diff(ends)

@@ -51,7 +51,7 @@ def grams(column, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.nd
 def _distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct keys, how many of the counted are equal to each)."""
     unique, place = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(place[counted], minlength=len(unique))
+    return unique, np.bincount(place[counted], minlength=len(unique)).astype(np.uint32)
 
 
 class Automaton:
