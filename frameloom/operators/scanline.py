@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from frameloom.functions.scalars import clamp, div_round, every
 
 
-def predictor_choice(luma: DataFrame) -> DataFrame:
-    """For each line (frame_no, y) whether the previous frame predicts it better than the sample to the left, which
-    starts from 0; rows (frame_no, y, x, luma)."""
-    left = F.lag("luma", 1, 0).over(Window.partitionBy("frame_no", "y").orderBy("x"))
-    ref = luma.select((F.col("frame_no") + 1).alias("frame_no"), "y", "x", F.col("luma").alias("ref"))
-    rows = luma.withColumn("left", left).join(ref, ["frame_no", "y", "x"], "left")
-    sums = rows.groupBy("frame_no", "y").agg(F.sum(F.abs(F.col("luma") - F.col("left"))).alias("horizontal"), F.sum(F.abs(F.col("luma") - F.col("ref"))).alias("temporal"))
+STREAM = ("stream_id",)
+
+
+def predictor_choice(luma: DataFrame, keys: tuple[str, ...] = STREAM) -> DataFrame:
+    """For each line (keys, frame_no, y) whether the previous frame predicts it better than the sample to the left, which
+    starts from 0; rows (keys, frame_no, y, x, luma)."""
+    left = F.lag("luma", 1, 0).over(Window.partitionBy(*keys, "frame_no", "y").orderBy("x"))
+    ref = luma.select(*keys, (F.col("frame_no") + 1).alias("frame_no"), "y", "x", F.col("luma").alias("ref"))
+    rows = luma.withColumn("left", left).join(ref, [*keys, "frame_no", "y", "x"], "left")
+    sums = rows.groupBy(*keys, "frame_no", "y").agg(F.sum(F.abs(F.col("luma") - F.col("left"))).alias("horizontal"), F.sum(F.abs(F.col("luma") - F.col("ref"))).alias("temporal"))
     return sums.withColumn("use_temporal", F.coalesce(F.col("temporal") < F.col("horizontal"), F.lit(False)))
 
 
-def temporal_residual(luma: DataFrame, quant: int) -> DataFrame:
+def temporal_residual(luma: DataFrame, quant: int, keys: tuple[str, ...] = STREAM) -> DataFrame:
     """Quantized differences to the previous clean frame, as signed bytes."""
-    ref = luma.select((F.col("frame_no") + 1).alias("frame_no"), "y", "x", F.col("luma").alias("ref"))
+    ref = luma.select(*keys, (F.col("frame_no") + 1).alias("frame_no"), "y", "x", F.col("luma").alias("ref"))
     res = clamp(div_round(F.col("luma") - F.col("ref"), quant), -128, 127)
-    return luma.join(ref, ["frame_no", "y", "x"]).select("frame_no", "y", "x", res.cast("int").alias("res"))
+    return luma.join(ref, [*keys, "frame_no", "y", "x"]).select(*keys, "frame_no", "y", "x", res.cast("int").alias("res"))
 
 
 def scan_order(y: Column) -> Column:
@@ -54,35 +57,35 @@ def phase_turn(cb: Column, cr: Column, phase: Column) -> tuple[Column, Column]:
     return a, b
 
 
-def phase_walk(records: DataFrame, burst_n: int, offset: int, drift: int) -> DataFrame:
-    """Phase bits of records (frame_no, record_index, phase): a step at each lost burst by the parity of frame and record, an offset and a
-    drift by index, modulo 4."""
+def phase_walk(records: DataFrame, burst_n: int, offset: int, drift: int, keys: tuple[str, ...] = STREAM) -> DataFrame:
+    """Phase bits of records (keys, frame_no, record_index, phase): a step at each lost burst by the parity of frame and
+    record, an offset and a drift by index, modulo 4."""
     k = F.col("record_index") + 1
     hit = every(burst_n, k)
     step = F.when(hit, F.when((F.col("frame_no") + k) % 2 == 0, 1).otherwise(-1)).otherwise(0)
-    walk = F.sum(step).over(Window.partitionBy("frame_no").orderBy("record_index").rowsBetween(Window.unboundedPreceding, 0))
+    walk = F.sum(step).over(Window.partitionBy(*keys, "frame_no").orderBy("record_index").rowsBetween(Window.unboundedPreceding, 0))
     return records.withColumn("walk", walk.cast("int")).withColumn("phase", F.pmod(F.col("phase") + F.col("walk") + offset + drift * F.col("record_index"), F.lit(4)).cast("int"))
 
 
-def record_edits(records: DataFrame, height: int, *, sync_n=0, predictor_n=0, swap_n=0, quant_n=0, quant=0, shift_n=0, shift=0, shift_drift=0, index_n=0, index=0, stride=0) -> DataFrame:
+def record_edits(records: DataFrame, height: int, *, sync_n=0, predictor_n=0, swap_n=0, quant_n=0, quant=0, shift_n=0, shift=0, shift_drift=0, index_n=0, index=0, stride=0, keys: tuple[str, ...] = STREAM) -> DataFrame:
     """Header edits of records (record_index, line, flags, quant, timing): sync lost, predictor bit, payload-swap bit,
     quantizer, line shift with drift, line index with stride."""
     i, k = F.col("record_index"), F.col("record_index") + 1
     flags = F.when(every(predictor_n, k), F.col("flags").bitwiseXOR(F.lit(1))).otherwise(F.col("flags"))
     flags = F.when(every(swap_n, k), flags.bitwiseXOR(F.lit(8))).otherwise(flags)
     return records.select(
-        "frame_no", "record_index", flags.cast("int").alias("flags"), every(sync_n, k).alias("sync_lost"),
+        *keys, "frame_no", "record_index", flags.cast("int").alias("flags"), every(sync_n, k).alias("sync_lost"),
         F.when(every(quant_n, k), clamp(F.col("quant") + quant, 1, 255)).otherwise(F.col("quant")).cast("int").alias("quant"),
         F.when(every(shift_n, k), clamp(F.col("timing") + shift + shift_drift * i, -32768, 32767)).otherwise(F.col("timing")).cast("int").alias("timing"),
         F.when(every(index_n, k), F.pmod(F.col("line") + index + stride * i, F.lit(height))).otherwise(F.col("line")).cast("int").alias("line"),
     )
 
 
-def concealed(lines: DataFrame, records: DataFrame) -> DataFrame:
-    """Lines (frame_no, line) that no record wrote."""
-    return lines.join(records.select("frame_no", "line").distinct(), ["frame_no", "line"], "left_anti")
+def concealed(lines: DataFrame, records: DataFrame, keys: tuple[str, ...] = STREAM) -> DataFrame:
+    """Lines (keys, frame_no, line) that no record wrote."""
+    return lines.join(records.select(*keys, "frame_no", "line").distinct(), [*keys, "frame_no", "line"], "left_anti")
 
 
-def last_writer(records: DataFrame) -> DataFrame:
+def last_writer(records: DataFrame, keys: tuple[str, ...] = STREAM) -> DataFrame:
     """For each line the record that wrote it last."""
-    return records.groupBy("frame_no", "line").agg(F.max("record_index").alias("record_index"), F.count("*").alias("writes"))
+    return records.groupBy(*keys, "frame_no", "line").agg(F.max("record_index").alias("record_index"), F.count("*").alias("writes"))

@@ -1,88 +1,132 @@
-"""The 8 x 8 cosine transform and its coefficient edits, on rows (block, u, v, …) or (block, pos)."""
+"""The 8 x 8 cosine transform and its coefficient edits.
+
+A block is one row: its key columns, and 64 values in an array. The transform, the quantizer and the edits are
+arithmetic on that array, so a plane is shuffled once, when its samples become blocks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import u64
-from frameloom.functions.scalars import clamp, every, half_away, short
+from frameloom.functions.scalars import clamp, every, half_away, jpeg_table, rotated, short
 from frameloom.functions.tables import LUMA, ZIGZAG, cosine
-from frameloom.functions.scalars import jpeg_table
 
+FRAME = ("stream_id", "frame_no")
+
+
+def blocks(plane: DataFrame, width: int, height: int, value: str, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """A plane (keys, y, x, value) as rows (keys, block_no, s): 64 samples around 0, row by row.
+
+    Blocks stand in raster order. Where the plane is no multiple of 8, its last column and row are repeated.
+    """
+    across, down = -(-width // 8), -(-height // 8)
+    reach = lambda c, n, m: F.explode(F.sequence(F.col(c), F.when(F.col(c) == n - 1, m - 1).otherwise(F.col(c))))
+    spread = plane.select(*keys, "x", (F.col(value) - 128).cast("int").alias("s"), reach("y", height, 8 * down).alias("py"))
+    spread = spread.select(*keys, "py", "s", reach("x", width, 8 * across).alias("px"))
+    block = (F.floor(F.col("py") / 8) * across + F.floor(F.col("px") / 8)).cast("int")
+    sample = F.struct((F.col("py") % 8 * 8 + F.col("px") % 8).alias("pos"), "s")
+    rows = spread.groupBy(*keys, block.alias("block_no")).agg(F.array_sort(F.collect_list(sample)).alias("p"))
+    return rows.select(*keys, "block_no", F.transform("p", lambda p: p["s"]).alias("s"))
+
+
+def _cosines(turned: bool) -> Column:
+    """64 values: at 8 u + x the basis u at x, or at 8 x + u if ``turned``."""
+    return F.array(*(F.lit(cosine(n % 8, n // 8) if turned else cosine(n // 8, n % 8)) for n in range(64)))
+
+
+def _rows_then_columns(values: str, turned: bool) -> Column:
+    """The separable product of an 8 x 8 array with the basis on both sides."""
+    table = _cosines(turned)
+    places, eight = F.sequence(F.lit(0), F.lit(63)), F.sequence(F.lit(0), F.lit(7))
 
-def samples(embeddings: DataFrame) -> DataFrame:
-    """Vectors as 8 x 8 blocks of samples around 0 (block, y, x, s)."""
-    rows = embeddings.select(F.col("vec_id").alias("block"), F.posexplode("embedding").alias("pos", "v")).filter("pos < 64")
-    level = clamp(F.floor(F.col("v").cast("double") * 256) + 128, 0, 255).cast("int") - 128
-    return rows.select("block", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).cast("int").alias("x"), level.alias("s"))
+    def along_rows(k):
+        return F.aggregate(eight, F.lit(0.0), lambda a, x: a + F.get(F.col(values), (k - k % 8 + x).cast("int")) * F.get(table, (k % 8 * 8 + x).cast("int")))
 
+    def along_columns(half):
+        return lambda k: F.aggregate(eight, F.lit(0.0), lambda a, y: a + F.get(half, (y * 8 + k % 8).cast("int")) * F.get(table, (F.floor(k / 8) * 8 + y).cast("int")))
 
-def _basis(spark: SparkSession, u: str, x: str, name: str) -> DataFrame:
-    return spark.createDataFrame([(a, b, cosine(a, b)) for a in range(8) for b in range(8)], f"{u} int, {x} int, {name} double")
+    return u64.let(F.transform(places, along_rows), lambda half: F.transform(places, along_columns(half)))
 
 
-def forward(blocks: DataFrame) -> DataFrame:
-    """Coefficients (block, u, v, f): rows, then columns, each against a basis of 64 values."""
-    spark = blocks.sparkSession
-    rows = blocks.join(F.broadcast(_basis(spark, "u", "x", "cx")), "x").groupBy("block", "y", "u").agg(F.sum(F.col("s") * F.col("cx")).alias("p"))
-    return rows.join(F.broadcast(_basis(spark, "v", "y", "cy")), "y").groupBy("block", "u", "v").agg(F.sum(F.col("p") * F.col("cy")).alias("f"))
+def forward(rows: DataFrame) -> DataFrame:
+    """Samples ``s`` to coefficients ``f`` (double), at 8 v + u."""
+    return rows.withColumn("f", _rows_then_columns("s", False)).drop("s")
 
 
-def inverse(coefficients: DataFrame, value: str = "f") -> DataFrame:
-    """Samples (block, y, x, s) as doubles."""
-    spark = coefficients.sparkSession
-    rows = coefficients.join(F.broadcast(_basis(spark, "v", "y", "cy")), "v").groupBy("block", "u", "y").agg(F.sum(F.col(value) * F.col("cy")).alias("p"))
-    return rows.join(F.broadcast(_basis(spark, "u", "x", "cx")), "u").groupBy("block", "y", "x").agg(F.sum(F.col("p") * F.col("cx")).alias("s"))
+def inverse(rows: DataFrame) -> DataFrame:
+    """Coefficients ``f`` to samples ``s`` (double)."""
+    return rows.withColumn("s", _rows_then_columns("f", True)).drop("f")
 
 
-def order(spark: SparkSession, quality: int = 50) -> DataFrame:
-    """The 64 places (v, u, zz, q): zig-zag place and quantizer."""
+def quantized(rows: DataFrame, quality: int = 50) -> DataFrame:
+    """Samples ``s`` to integer coefficients ``c`` in zig-zag order. The transform is rounded to 6 places first, so that
+    sums in another order can't change what lies at a half."""
     table = jpeg_table(LUMA, quality)
-    return spark.createDataFrame([(n // 8, n % 8, z, table[n]) for z, n in enumerate(ZIGZAG)], "v int, u int, zz int, q int")
+    order = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(float(table[n])).alias("q")) for n in ZIGZAG))
+    return forward(rows).withColumn("c", F.transform(order, lambda z: short(half_away(F.round(F.round(F.get(F.col("f"), z["n"]), 6) / z["q"], 6))))).drop("f")
 
 
-def quantized(blocks: DataFrame, quality: int = 50) -> DataFrame:
-    """Integer coefficients (block, u, v, zz, q, c). The transform is rounded to 6 places first, so that sums in
-    another order can't change what lies at a half."""
-    f = F.round("f", 6)
-    return forward(blocks).join(F.broadcast(order(blocks.sparkSession, quality)), ["u", "v"]).select("block", "u", "v", "zz", "q", short(half_away(F.round(f / F.col("q"), 6))).alias("c"))
+def listed(rows: DataFrame, quality: int = 50) -> DataFrame:
+    """Blocks with ``c`` as a row (…, u, v, zz, q, c) for each coefficient."""
+    table = jpeg_table(LUMA, quality)
+    at = F.array(*(F.struct(F.lit(n % 8).alias("u"), F.lit(n // 8).alias("v"), F.lit(table[n]).alias("q")) for n in ZIGZAG))
+    keys = [c for c in rows.columns if c != "c"]
+    out = rows.select(*keys, F.posexplode(F.arrays_zip(F.col("c"), at.alias("at"))).alias("zz", "e"))
+    return out.select(*keys, "e.at.u", "e.at.v", "zz", "e.at.q", "e.c")
+
 
+def _ac(rows: DataFrame, change) -> DataFrame:
+    """The 63 AC values changed together; the DC value stays."""
+    return rows.withColumn("c", F.concat(F.slice("c", 1, 1), change(F.slice("c", 2, 63))))
 
-def ac_rotated(coefficients: DataFrame, by: int) -> DataFrame:
-    """The 63 AC values rotated left by ``by`` along the zig-zag: only their places change."""
-    return coefficients.withColumn("zz", F.when(F.col("zz") == 0, 0).otherwise(F.pmod(F.col("zz") - 1 - by, F.lit(63)) + 1).cast("int"))
 
+def ac_rotated(rows: DataFrame, by: int) -> DataFrame:
+    """The 63 AC values rotated left by ``by`` along the zig-zag."""
+    return _ac(rows, lambda ac: rotated(ac, -by))
 
-def zigzag_reversed(coefficients: DataFrame) -> DataFrame:
+
+def zigzag_reversed(rows: DataFrame) -> DataFrame:
     """AC values mirrored along the zig-zag."""
-    return coefficients.withColumn("zz", F.when(F.col("zz") == 0, 0).otherwise(64 - F.col("zz")).cast("int"))
+    return _ac(rows, F.reverse)
 
 
-def transposed(coefficients: DataFrame) -> DataFrame:
-    return coefficients.withColumns({"u": F.col("v"), "v": F.col("u")})
+def transposed(rows: DataFrame) -> DataFrame:
+    place = {n: z for z, n in enumerate(ZIGZAG)}
+    source = F.array(*(F.lit(place[n % 8 * 8 + n // 8]) for n in ZIGZAG))
+    return rows.withColumn("c", F.transform(source, lambda z: F.get(F.col("c"), z)))
 
 
-def low_passed(coefficients: DataFrame, cutoff: int) -> DataFrame:
-    return coefficients.withColumn("c", F.when(F.col("zz") > cutoff, 0).otherwise(F.col("c")).cast("int"))
+def low_passed(rows: DataFrame, cutoff: int) -> DataFrame:
+    return rows.withColumn("c", F.transform("c", lambda c, zz: F.when(zz > cutoff, 0).otherwise(c)))
 
 
-def requantized(coefficients: DataFrame, scale: float) -> DataFrame:
+def requantized(rows: DataFrame, scale: float) -> DataFrame:
     """Rounded to multiples of ``scale``, truncated to an integer."""
-    v = clamp(half_away(F.col("c") / F.lit(float(scale))) * F.lit(float(scale)), -32768.0, 32767.0)
-    return coefficients.withColumn("c", (F.signum(v) * F.floor(F.abs(v))).cast("int"))
 
+    def one(c):
+        v = clamp(half_away(c / F.lit(float(scale))) * F.lit(float(scale)), -32768.0, 32767.0)
+        return (F.signum(v) * F.floor(F.abs(v))).cast("int")
+
+    return rows.withColumn("c", F.transform("c", one))
 
-def sign_flipped(coefficients: DataFrame, n: int, ordinal: Column) -> DataFrame:
+
+def sign_flipped(rows: DataFrame, n: int, ordinal: Column) -> DataFrame:
     """AC values of each n-th block negated, saturating."""
-    return coefficients.withColumn("c", F.when(every(n, ordinal) & (F.col("zz") > 0), short(-F.col("c"))).otherwise(F.col("c")).cast("int"))
+    return rows.withColumn("c", F.when(every(n, ordinal), F.transform("c", lambda c, zz: F.when(zz > 0, short(-c)).otherwise(c))).otherwise(F.col("c")))
+
+
+def dc_offset(rows: DataFrame, n: int, ordinal: Column, by: int) -> DataFrame:
+    return rows.withColumn("c", F.when(every(n, ordinal), F.transform("c", lambda c, zz: F.when(zz == 0, short(c + by)).otherwise(c))).otherwise(F.col("c")))
 
 
-def dc_offset(coefficients: DataFrame, n: int, ordinal: Column, by: int) -> DataFrame:
-    return coefficients.withColumn("c", F.when(every(n, ordinal) & (F.col("zz") == 0), short(F.col("c") + by)).otherwise(F.col("c")).cast("int"))
+def dc_values(rows: DataFrame) -> DataFrame:
+    """The first coefficient (…, dc) of each block."""
+    return rows.withColumn("dc", F.get("c", F.lit(0))).drop("c")
 
 
-def dc_drift(dc: DataFrame, n: int, step: int, channel: int = 0, plane: tuple[str, ...] = ("plane",)) -> DataFrame:
+def dc_drift(dc: DataFrame, n: int, step: int, channel: int = 0, plane: tuple[str, ...] = FRAME) -> DataFrame:
     """DC values (plane, block_no, dc) with a running offset: each n-th block adds or takes ``step`` by a hashed sign."""
     i = F.col("block_no") + 1
     trigger = F.floor(i / n)
@@ -92,14 +136,14 @@ def dc_drift(dc: DataFrame, n: int, step: int, channel: int = 0, plane: tuple[st
     return dc.withColumn("drift", total.cast("int")).withColumn("dc", short(F.col("dc") + F.col("drift")))
 
 
-def block_sources(blocks: DataFrame, columns: int, rows: int, shift_n: int, shift: tuple[int, int], repeat_n: int) -> DataFrame:
+def block_sources(rows: DataFrame, columns: int, height: int, shift_n: int, shift: tuple[int, int], repeat_n: int) -> DataFrame:
     """For each block (block_no) the block it reads: shifted at each n-th, else the one before at each m-th."""
     i = F.col("block_no")
     x, y = i % columns, F.floor(i / columns)
-    moved = F.pmod(y + shift[1], F.lit(rows)) * columns + F.pmod(x + shift[0], F.lit(columns))
-    return blocks.withColumn("source_no", F.when(every(shift_n, i + 1), moved).when(every(repeat_n, i + 1) & (i > 0), i - 1).otherwise(i).cast("int"))
+    moved = F.pmod(y + shift[1], F.lit(height)) * columns + F.pmod(x + shift[0], F.lit(columns))
+    return rows.withColumn("source_no", F.when(every(shift_n, i + 1), moved).when(every(repeat_n, i + 1) & (i > 0), i - 1).otherwise(i).cast("int"))
 
 
-def chroma_mean(pixels: DataFrame, value: str, keys: tuple[str, ...] = ("frame_no",)) -> DataFrame:
+def chroma_mean(pixels: DataFrame, value: str, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """Means of 2 x 2 cells; cells cut by an edge have fewer samples."""
     return pixels.groupBy(*keys, F.floor(F.col("y") / 2).cast("int").alias("cy"), F.floor(F.col("x") / 2).cast("int").alias("cx")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))

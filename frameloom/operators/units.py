@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.scalars import every
+from frameloom.operators.unit_columns import classified
 
 
 def _over(order: str = "seq") -> Window:
@@ -21,11 +22,25 @@ def ordinals(units: DataFrame) -> DataFrame:
     return units.withColumns({f"{k}_no": F.count_if(F.col("kind") == k).over(_over()) for k in ("key", "predicted")})
 
 
+#: Start codes and first bytes of the units that events become: parameter sets, a keyframe slice, a predicted one.
+HEADER_BYTES = (0x67, 0x68, 0x47)
+KEY_UNIT, PREDICTED_UNIT = "00000165", "0000000141"
+
+
 def from_events(events: DataFrame) -> DataFrame:
-    """Events as units: sign-ups are headers, purchases keyframes, the others predicted; the payload is ``props``."""
-    kind = F.when(F.col("event_type") == "signup", "header").when(F.col("event_type") == "purchase", "key").otherwise("predicted")
+    """Events as H.264 units (stream_id, seq, event_id, data, payload): sign-ups are parameter sets, purchases keyframe
+    slices, the others predicted slices; the payload is ``props``."""
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.select(F.col("user_id").alias("stream_id"), seq.cast("long").alias("seq"), "event_id", kind.alias("kind"), F.col("props").cast("binary").alias("payload"))
+    header = F.array(*(F.lit(f"00000001{b:02x}") for b in HEADER_BYTES))
+    front = F.when(F.col("event_type") == "signup", F.get(header, (F.col("event_id") % 3).cast("int"))).when(F.col("event_type") == "purchase", F.lit(KEY_UNIT)).otherwise(F.lit(PREDICTED_UNIT))
+    payload = F.col("props").cast("binary")
+    return events.select(F.col("user_id").alias("stream_id"), seq.cast("long").alias("seq"), "event_id", F.concat(F.unhex(front), payload).alias("data"), payload.alias("payload"))
+
+
+def kinds(units: DataFrame, codec: str = "h264") -> DataFrame:
+    """Units (…, data) with the ``kind`` that their bytes say: header, key or predicted."""
+    rows = classified(units, codec)
+    return rows.withColumn("kind", F.when(F.col("role").isin("header", "key"), F.col("role")).otherwise("predicted")).drop("prefix", "role", "picture")
 
 
 def drop_keyframes(units: DataFrame, passed: int, recover: int) -> DataFrame:

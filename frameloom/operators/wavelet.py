@@ -95,8 +95,8 @@ def quantized(bands: DataFrame, spark: SparkSession, width: int, height: int, le
     return bands.join(steps, ["channel", "level", "orientation"]).withColumn("c", short(div_round(F.col("v"), F.col("step"))))
 
 
-def route(spark: SparkSession, frames: DataFrame, width: int, height: int, levels: int, *, rotate_n=0, rotate=1, fold_n=0, fold=1, channel_n=0, channel=1, shift_n=0, shift=1, loss_n=0, history_n=0, lag=1, lowpass_lag=0, conceal=True) -> DataFrame:
-    """Which band each band of each frame reads: (frame_no, band_index, ref_no, source_index); no source if lost.
+def route(spark: SparkSession, frames: DataFrame, width: int, height: int, levels: int, *, rotate_n=0, rotate=1, fold_n=0, fold=1, channel_n=0, channel=1, shift_n=0, shift=1, loss_n=0, history_n=0, lag=1, lowpass_lag=0, conceal=True, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """Which band each band of each frame reads: (keys, frame_no, band_index, ref_no, source_index); no source if lost.
 
     Rules follow one another, each from the band's own place, so a later rule wins: history, orientation, level,
     channel, shift, loss. An event's ordinal is band + frame, from 0.
@@ -112,7 +112,7 @@ def route(spark: SparkSession, frames: DataFrame, width: int, height: int, level
         routes.append((i, o, turned, folded, crossed, (i + shift) % bands))
     dim = spark.createDataFrame(routes, "band_index int, orientation int, turned int, folded int, crossed int, moved int")
     k = F.col("band_index") + F.col("frame_no")
-    rows = frames.select("frame_no").crossJoin(F.broadcast(dim))
+    rows = frames.select(*keys, "frame_no").crossJoin(F.broadcast(dim))
     hit = lambda n: F.lit(False) if n == 0 else k % n == 0
     flat = F.col("orientation") == 0
     back = F.when(flat & F.lit(lowpass_lag > 0), F.lit(lowpass_lag)).when(~(flat & F.lit(lowpass_lag > 0)) & hit(history_n), F.lit(max(1, lag))).otherwise(0)
@@ -125,7 +125,7 @@ def route(spark: SparkSession, frames: DataFrame, width: int, height: int, level
     can = F.lit(conceal) & (F.col("frame_no") >= max(1, lag))
     ref = F.when(lost & can, F.col("frame_no") - max(1, lag)).when(lost, F.lit(None).cast("int")).otherwise(ref)
     source = F.when(lost & can, F.col("band_index")).when(lost, F.lit(None).cast("int")).otherwise(source)
-    return rows.select("frame_no", "band_index", ref.cast("int").alias("ref_no"), source.cast("int").alias("source_index"))
+    return rows.select(*keys, "frame_no", "band_index", ref.cast("int").alias("ref_no"), source.cast("int").alias("source_index"))
 
 
 def ordinal(band: Column, frame_no: Column, y: Column, x: Column, width: Column) -> Column:

@@ -18,6 +18,27 @@ def grid(spark: SparkSession, frames: int, width: int, height: int) -> DataFrame
     )
 
 
+def tiles(vectors: DataFrame, width: int, height: int, frames: int, *, id_col: str = "vec_id", values_col: str = "embedding") -> DataFrame:
+    """Vectors of 64 numbers as the 8 x 8 tiles of frames: pixels (stream_id, frame_no, y, x, r, g, b).
+
+    Vector n is tile n of one long row of frames, ``frames`` of them a stream; what lacks at the end of the last stream
+    is dark. Red is the level of a value, green drifts over it, blue is the moving bars over a pattern of the stream.
+    """
+    across, each = width // 8, width // 8 * (height // 8)
+    whole = vectors.sparkSession.range(-(-(vectors.agg((F.max(id_col) + 1).alias("n")).first().n or 0) // (each * frames)) * each * frames)
+    n, dark = F.col("id"), F.array_repeat(F.lit(0.0), 64)
+    rows = whole.join(vectors.select(F.col(id_col).alias("id"), F.col(values_col).alias("values")), "id", "left")
+    rows = rows.select("id", F.posexplode(F.coalesce(F.col("values").cast("array<double>"), dark)).alias("p", "v"))
+    level = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("v") * 256) + 128)).cast("int")
+    rows = rows.select(
+        F.floor(n / (each * frames)).cast("int").alias("stream_id"), (F.floor(n / each) % frames).cast("int").alias("frame_no"),
+        (F.floor(n % each / across) * 8 + F.floor(F.col("p") / 8)).cast("int").alias("y"), (n % each % across * 8 + F.col("p") % 8).cast("int").alias("x"), level.alias("r"),
+    )
+    f, x, y = F.col("frame_no"), F.col("x"), F.col("y")
+    bars = (F.abs(x - 3 * f % width) < 24) | (F.abs(y - 2 * f % height) < 12)
+    return rows.withColumn("g", _low(F.col("r") + 2 * y + 3 * f)).withColumn("b", F.when(bars, F.lit(240)).otherwise(_low(x.bitwiseXOR(y) + 7 * F.col("stream_id"))))
+
+
 def _low(c: Column) -> Column:
     return c.bitwiseAND(F.lit(255)).cast("int")
 
@@ -69,7 +90,7 @@ def explode_frames(frames: DataFrame, channels: int = 3) -> DataFrame:
     )
 
 
-def assemble_frames(pixels: DataFrame, keys: tuple[str, ...] = ("frame_no",), names: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+def assemble_frames(pixels: DataFrame, keys: tuple[str, ...] = ("stream_id", "frame_no"), names: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """Pixels as binary frames (keys, width, height, pixels)."""
     one = F.concat(*(F.lpad(F.hex(F.col(c)), 2, "0") for c in names))
     rows = pixels.groupBy(*keys).agg(
@@ -99,7 +120,7 @@ def scale_nearest(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int])
     return pixels.join(F.broadcast(places(w, ow, "x")), "x").join(F.broadcast(places(h, oh, "y")), "y").drop("x", "y").withColumnsRenamed({"out_x": "x", "out_y": "y"})
 
 
-def scale_linear(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], keys: tuple[str, ...] = ("frame_no",)) -> DataFrame:
+def scale_linear(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], keys: tuple[str, ...] = ("stream_id", "frame_no")) -> DataFrame:
     """Bilinear scaling in 8.8 fixed point: each source pixel is weighed for the output pixels that it touches."""
     spark = pixels.sparkSession
 
