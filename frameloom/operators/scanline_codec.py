@@ -44,34 +44,46 @@ def byte_held(v: int) -> int:
     return max(-128, min(127, v))
 
 
-def code_zeros(values: list[int]) -> bytes:
-    """Runs of up to 128: a token with the high bit for zeros, a token and its bytes for other values."""
-    out, i, n = bytearray(), 0, len(values)
-    while i < n:
-        zero, j = values[i] == 0, i + 1
-        while j < n and j - i < 128 and (values[j] == 0) == zero:
-            j += 1
-        out.append((128 if zero else 0) | j - i - 1)
-        if not zero:
-            out += bytes(v & 255 for v in values[i:j])
-        i = j
-    return bytes(out)
-
-
-def read_zeros(data: bytes, n: int) -> list[int]:
+def code_zeros(values: np.ndarray) -> list[bytes]:
+    """Lines of values, each as runs of up to 128: a token with the high bit for zeros, a token and its bytes for others.
+
+    All lines are coded at once: every value knows its run, every run its place in the output.
+    """
+    h, w = values.shape
+    flat = values.ravel()
+    zero = flat == 0
+    place = np.arange(len(flat))
+    turn = np.ones(len(flat), bool)
+    turn[1:] = (zero[1:] != zero[:-1]) | (place[1:] % w == 0)
+    begin = np.maximum.accumulate(np.where(turn, place, 0))
+    turn |= (place - begin) % 128 == 0
+    starts = np.flatnonzero(turn)
+    length = np.diff(np.append(starts, len(flat)))
+    size = 1 + np.where(zero[starts], 0, length)
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[at] = np.where(zero[starts], 128, 0) | length - 1
+    run = np.cumsum(turn) - 1
+    own = np.flatnonzero(~zero)
+    out[at[run[own]] + 1 + own - starts[run[own]]] = flat[own] & 255
+    ends = np.append(at[np.searchsorted(starts, np.arange(h) * w)], len(out))
+    return [out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def read_zeros(data: bytes, n: int) -> np.ndarray:
     """At most ``n`` values; what is missing is zero."""
-    out, at = [], 0
-    while at < len(data) and len(out) < n:
+    out, i, at = np.zeros(n, np.int64), 0, 0
+    while at < len(data) and i < n:
         run, zero = (data[at] & 127) + 1, data[at] > 127
         at += 1
-        if zero:
-            out += [0] * run
-            continue
-        out += [signed(b) for b in data[at : at + run]]
-        if at + run > len(data):
-            break
-        at += run
-    return (out + [0] * n)[:n]
+        if not zero:
+            own = np.frombuffer(data, np.int8, min(run, len(data) - at), at)[: n - i]
+            out[i : i + len(own)] = own
+            if at + run > len(data):
+                break
+            at += run
+        i += run
+    return out
 
 
 def shift_runs(data: bytearray, delta: int) -> None:
@@ -84,24 +96,37 @@ def shift_runs(data: bytearray, delta: int) -> None:
         at += 1 if zero else 1 + run
 
 
-def code_colours(values: list[int]) -> bytes:
-    """Zero runs of 2 to 64, pairs of small values in a byte, or a value by itself behind an escape."""
-    out, i, n = bytearray(), 0, len(values)
-    small = lambda k: k < n and -4 <= values[k] <= 3
-    while i < n:
-        j = i
-        while j < n and j - i < 64 and values[j] == 0:
-            j += 1
-        if j - i >= 2:
-            out.append(0x80 | j - i - 1)
-            i = j
-        elif small(i) and small(i + 1):
-            out.append(values[i] + 4 << 4 | values[i + 1] + 4)
-            i += 2
-        else:
-            out += bytes((0xC0, values[i] & 255))
-            i += 1
-    return bytes(out)
+def code_colours(values: np.ndarray) -> list[bytes]:
+    """Lines of values: zero runs of 2 to 64, pairs of small values in a byte, or a value by itself behind an escape.
+
+    A step writes the next token of every line that is not at its end.
+    """
+    h, n = values.shape
+    far = np.arange(n)
+    nonzero = np.where(values != 0, far, n)
+    zeros = np.minimum(np.minimum.accumulate(nonzero[:, ::-1], axis=1)[:, ::-1] - far, 64) if n else values
+    small = np.zeros((h, n + 1), bool)
+    small[:, :n] = (values >= -4) & (values <= 3)
+    at, line = np.zeros(h, np.int64), np.arange(h)
+    tokens, line = [], line[: h if n else 0]
+    while len(line):
+        i = at[line]
+        run, v = zeros[line, i], values[line, i]
+        two = small[line, i] & small[line, i + 1]
+        after = values[line, np.minimum(i + 1, n - 1)]
+        first = np.where(run >= 2, 0x80 | run - 1, np.where(two, v + 4 << 4 | after + 4, 0xC0))
+        second = np.where((run >= 2) | two, -1, v & 255)
+        tokens.append((line, first, second))
+        at[line] += np.where(run >= 2, run, np.where(two, 2, 1))
+        line = line[at[line] < n]
+    if not tokens:
+        return [b""] * h
+    lines = np.concatenate([np.repeat(t[0], 2) for t in tokens])
+    data = np.concatenate([np.stack(t[1:], axis=1).ravel() for t in tokens])
+    lines, data = lines[data >= 0], data[data >= 0].astype(np.uint8)
+    data = data[np.argsort(lines, kind="stable")]
+    ends = np.append(0, np.cumsum(np.bincount(lines, minlength=h)))
+    return [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def read_colours(data: bytes, n: int) -> list[int]:
@@ -123,9 +148,11 @@ def read_colours(data: bytes, n: int) -> list[int]:
     return (out + [0] * n)[:n]
 
 
-def turned(a: int, b: int, phase: int) -> tuple[int, int]:
-    minus = lambda v: min(127, -v)
-    return ((a, b), (b, minus(a)), (minus(a), minus(b)), (minus(b), a))[phase & 3]
+def turned(a: np.ndarray, b: np.ndarray, phase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The carrier pair turned by quarters; the negative of -128 is 127."""
+    c, d = np.minimum(127, -a), np.minimum(127, -b)
+    phase = phase & 3
+    return np.choose(phase, (a, b, c, d)), np.choose(phase, (b, c, d, a))
 
 
 def scan_order(height: int) -> list[int]:
@@ -205,37 +232,42 @@ class ScanlineCodec:
             carried = np.clip(guess + out[:, x] * self.quant, 0, 255)
         return temporal, out
 
-    def _colours(self, planes: np.ndarray, y: int, phase: int) -> tuple[bytes, bool]:
-        """(seed pair and differences of the two carriers in turn, whether these are packed)."""
-        a = b = 0
-        seed, steps = b"", []
-        for i, x in enumerate(range(0, self.width, self.group)):
-            cell = planes[y, x : x + self.group, 1:] - 128
-            cb, cr = (byte_held(int(s / len(cell))) for s in cell.sum(axis=0))
-            p, q = turned(cb, cr, phase)
-            if i == 0:
-                seed, a, b = bytes((p & 255, q & 255)), p, q
-                continue
+    def _colours(self, planes: np.ndarray, n: int) -> list[tuple[bytes, bool]]:
+        """For each line (seed pair and differences of the two carriers in turn, whether these are packed): one walk
+        along the groups for all lines."""
+        groups = -(-self.width // self.group)
+        starts = np.arange(groups) * self.group
+        size = np.minimum(starts + self.group, self.width) - starts
+        total = np.add.reduceat(planes[..., 1:] - 128, starts, axis=1)
+        cell = np.clip(np.sign(total) * (np.abs(total) // size[:, None]), -128, 127)
+        phase = (n + np.arange(self.height)) & 3
+        p, q = turned(cell[..., 0], cell[..., 1], np.broadcast_to(phase[:, None], cell.shape[:2]))
+        a, b = p[:, 0].copy(), q[:, 0].copy()
+        seeds = np.stack([a, b], axis=1).astype(np.uint8)
+        steps = np.zeros((self.height, groups - 1), np.int64)
+        for i in range(1, groups):
             first = (phase + i) & 1 == 0
-            off = p - a if first else q - b
-            step = byte_held((abs(off) + COLOUR_QUANT // 2) // COLOUR_QUANT * (1 if off >= 0 else -1))
-            steps.append(step)
-            if first:
-                a = byte_held(a + step * COLOUR_QUANT)
-            else:
-                b = byte_held(b + step * COLOUR_QUANT)
-        packed = code_colours(steps)
-        return (seed + packed, True) if len(packed) < len(steps) else (seed + bytes(s & 255 for s in steps), False)
+            off = np.where(first, p[:, i] - a, q[:, i] - b)
+            step = np.clip((np.abs(off) + COLOUR_QUANT // 2) // COLOUR_QUANT * np.where(off >= 0, 1, -1), -128, 127)
+            steps[:, i - 1] = step
+            a = np.where(first, np.clip(a + step * COLOUR_QUANT, -128, 127), a)
+            b = np.where(first, b, np.clip(b + step * COLOUR_QUANT, -128, 127))
+        plain = steps.astype(np.uint8)
+        out = []
+        for y, packed in enumerate(code_colours(steps)):
+            short = len(packed) < groups - 1
+            out.append((seeds[y].tobytes() + (packed if short else plain[y].tobytes()), short))
+        return out
 
     def encode(self, planes: np.ndarray) -> bytes:
         n = self.counts["frames_in"]
         out = bytearray(b"SCN0" + struct.pack("<BBHHIBB", VERSION, COLOUR_QUANT, self.width, self.height, n & 0xFFFFFFFF, self.group.bit_length() - 1, 2))
         temporal, residual = self._luma(planes[..., 0])
         lines = size = 0
+        lumas, colours = code_zeros(residual), self._colours(planes, n)
         for y in scan_order(self.height):
             phase = (n + y) & 3
-            luma = code_zeros(residual[y].tolist())
-            colour, packed = self._colours(planes, y, phase)
+            luma, (colour, packed) = lumas[y], colours[y]
             own = len(luma) + len(colour)
             mark = y <= 1 or lines >= MOST_LINES or (lines >= LEAST_LINES and size + own >= TARGET_LINES * self.width)
             lines, size = (1, own) if mark else (lines + 1, size + own)
@@ -347,39 +379,55 @@ class ScanlineCodec:
         self.burst = (self.burst + (off - 4 if off > 2 else off)) % 4
         return target, self.phase % self.width, (due + self.burst) % 4
 
-    def _line(self, row: np.ndarray, signal: bytes, r: Record, target: int, shift: int, phase: int, group: int, quant: int) -> None:
-        flags, q, offset = signal[r.head + 4], max(1, signal[r.head + 5]), struct.unpack_from("<h", signal, r.head + 8)[0]
-        luma, colour = (signal[r.colour], signal[r.luma]) if flags & 8 else (signal[r.luma], signal[r.colour])
-        residual = np.array(read_zeros(luma, self.width), np.int64) * q
-        places = (np.arange(self.width) + shift) % self.width
-        if flags & 1:
-            before = self._held(self.p["predictor_lag"])
-            guess = 0 if before is None else before[(target + offset) % self.height, :, 0]
-            row[places, 0] = np.clip(guess + residual, 0, 255)
-        else:
-            left, values = 0, []
-            for v in residual.tolist():
-                left = max(0, min(255, left + v))
-                values.append(left)
-            row[places, 0] = values
-        if len(colour) >= 2:
-            groups = -(-self.width // group)
-            a, b = signed(colour[0]), signed(colour[1])
-            turn = phase + (flags >> 4 & 3) & 3
-            steps = read_colours(colour[2:], groups - 1) if flags & 64 else ([signed(v) for v in colour[2 : 1 + groups]] + [0] * groups)[: groups - 1]
-            pairs = []
-            for i in range(groups):
-                if i:
-                    if (turn + i) & 1 == 0:
-                        a = byte_held(a + steps[i - 1] * quant)
-                    else:
-                        b = byte_held(b + steps[i - 1] * quant)
-                pairs.append(turned(a, b, -turn))
-            row[places, 1:] = np.array(pairs).repeat(group, axis=0)[: self.width] + 128
-        weave = self.p["history_line_weave"]
-        n = self.p["history_line_weave_every"]
-        if weave and n and (target + 1) % n == 0 and self.dirty:
-            row[:] = self._held(weave)[target]
+    def _lumas(self, signal: bytes, rows: list[tuple]) -> np.ndarray:
+        """The luma of each record, before its shift: one walk along x for all that follow the sample to the left."""
+        residual = np.zeros((len(rows), self.width), np.int64)
+        temporal = np.zeros(len(rows), bool)
+        before = self._held(self.p["predictor_lag"])
+        guess = np.zeros_like(residual)
+        for k, (r, target, *_) in enumerate(rows):
+            flags, q = signal[r.head + 4], max(1, signal[r.head + 5])
+            residual[k] = read_zeros(signal[r.colour if flags & 8 else r.luma], self.width) * q
+            temporal[k] = flags & 1
+            if flags & 1 and before is not None:
+                guess[k] = before[(target + struct.unpack_from("<h", signal, r.head + 8)[0]) % self.height, :, 0]
+        out = np.clip(guess + residual, 0, 255)
+        across = np.flatnonzero(~temporal)
+        left = np.zeros(len(across), np.int64)
+        for x in range(self.width):
+            left = np.clip(left + residual[across, x], 0, 255)
+            out[across, x] = left
+        return out
+
+    def _pairs(self, signal: bytes, rows: list[tuple], group: int, quant: int) -> list[np.ndarray | None]:
+        """The colours of each record that has any, before its shift: one walk along the groups for all."""
+        groups = -(-self.width // group)
+        out: list[np.ndarray | None] = [None] * len(rows)
+        live, seeds, steps, turns = [], [], [], []
+        for k, (r, _, _, phase) in enumerate(rows):
+            flags = signal[r.head + 4]
+            colour = signal[r.luma if flags & 8 else r.colour]
+            if len(colour) < 2:
+                continue
+            live.append(k)
+            seeds.append((signed(colour[0]), signed(colour[1])))
+            turns.append(phase + (flags >> 4 & 3) & 3)
+            own = read_colours(colour[2:], groups - 1) if flags & 64 else np.frombuffer(colour, np.int8)[2 : 1 + groups].tolist()
+            steps.append((own + [0] * groups)[: groups - 1])
+        if not live:
+            return out
+        a, b = np.array(seeds, np.int64).T
+        step, turn = np.array(steps, np.int64).reshape(len(live), groups - 1) * quant, np.array(turns)
+        pair = np.empty((len(live), groups, 2), np.int64)
+        for i in range(groups):
+            if i:
+                first = (turn + i) & 1 == 0
+                a = np.where(first, np.clip(a + step[:, i - 1], -128, 127), a)
+                b = np.where(first, b, np.clip(b + step[:, i - 1], -128, 127))
+            pair[:, i, 0], pair[:, i, 1] = turned(a, b, -turn)
+        for k, own in zip(live, pair.repeat(group, axis=1)[:, : self.width] + 128, strict=True):
+            out[k] = own
+        return out
 
     def decode(self, signal: bytes) -> np.ndarray:
         if len(signal) < HEAD or signal[:4] != b"SCN0" or signal[4] != VERSION or struct.unpack_from("<HH", signal, 6) != (self.width, self.height):
@@ -387,11 +435,16 @@ class ScanlineCodec:
         group, quant = 1 << min(6, signal[14]), max(1, signal[5])
         before = self._held(self.p["predictor_lag"])
         out = before.copy() if before is not None else np.full((self.height, self.width, 3), (0, 128, 128), np.int64)
-        written = set()
-        for r in records_of(signal):
-            target, shift, phase = self._receive(signal, r)
-            self._line(out[target], signal, r, target, shift, phase, group, quant)
-            written.add(target)
+        rows = [(r, *self._receive(signal, r)) for r in records_of(signal)]
+        weave, n = self.p["history_line_weave"], self.p["history_line_weave_every"]
+        for (_, target, shift, _), luma, pairs in zip(rows, self._lumas(signal, rows), self._pairs(signal, rows, group, quant), strict=True):
+            row = out[target]
+            row[:, 0] = np.roll(luma, shift)
+            if pairs is not None:
+                row[:, 1:] = np.roll(pairs, shift, axis=0)
+            if weave and n and (target + 1) % n == 0 and self.dirty:
+                row[:] = self._held(weave)[target]
+        written = {target for _, target, *_ in rows}
         self.counts["concealed_lines"] += self.height - len(written)
         return out
 

@@ -170,27 +170,40 @@ def category(v: int) -> int:
     return abs(v).bit_length()
 
 
-def symbols(plane: np.ndarray):
-    """(kind, symbol, magnitude bits, their number) of a plane's blocks in order: DC differences, then AC runs."""
-    before = 0
-    for block in plane.reshape(-1, 64)[:, ZZ].astype(int).tolist():
-        diff, before = block[0] - before, block[0]
-        s = category(diff)
-        yield 0, s, diff if diff >= 0 else diff + (1 << s) - 1, s
-        run = 0
-        last = max((i for i in range(1, 64) if block[i]), default=0)
-        for v in block[1 : last + 1]:
-            if v == 0:
-                run += 1
-                continue
-            while run >= 16:
-                yield 1, 0xF0, 0, 0
-                run -= 16
-            s = category(v)
-            yield 1, 256 + run if s == 16 else run << 4 | s, v if v >= 0 else v + (1 << s) - 1, s
-            run = 0
-        if last < 63:
-            yield 1, 0, 0, 0
+def bit_lengths(v: np.ndarray) -> np.ndarray:
+    """Bits of the magnitudes, all below 2 ** 17."""
+    return np.frexp(np.abs(v).astype(np.float64))[1].astype(np.int64)
+
+
+def symbols(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, symbol, magnitude bits, their number) of a plane's blocks in order: DC differences, then AC runs.
+
+    Every coefficient, every 16 zeros and every end is a row with its place; the rows are then put in order.
+    """
+    z = plane.reshape(-1, 64)[:, ZZ].astype(np.int64)
+    n = len(z)
+    diff = np.diff(z[:, 0], prepend=0)
+    block, at = np.nonzero(z[:, 1:])
+    at = at + 1
+    v = z[block, at]
+    new = np.ones(len(block), bool)
+    new[1:] = block[1:] != block[:-1]
+    run = at - np.where(new, 0, np.append(0, at[:-1])) - 1
+    size = bit_lengths(v)
+    long = np.flatnonzero(run >= 16)
+    long = np.repeat(long, run[long] // 16)
+    ends = np.flatnonzero(z[:, 63] == 0)
+    code = lambda x, s: np.where(x >= 0, x, x + (1 << s) - 1)
+    low = run % 16
+    none = np.zeros(len(long) + len(ends), np.int64)
+    parts = (
+        (np.arange(n) * 256, np.zeros(n, np.int64), bit_lengths(diff), code(diff, bit_lengths(diff)), bit_lengths(diff)),
+        (block * 256 + at * 2 + 1, np.ones(len(block), np.int64), np.where(size == 16, 256 + low, low << 4 | size), code(v, size), size),
+        (np.concatenate([block[long] * 256 + at[long] * 2, ends * 256 + 255]), none + 1, np.concatenate([np.full(len(long), 0xF0), np.zeros(len(ends), np.int64)]), none, none),
+    )
+    place, kind, symbol, magnitude, bits = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(place, kind="stable")
+    return kind[order], symbol[order], magnitude[order], bits[order]
 
 
 def code_lengths(counts: dict[int, int], longest: int = 16) -> tuple[list[int], list[int]]:
@@ -240,12 +253,23 @@ def codes(bits: list[int], order: list[int]) -> dict[int, tuple[int, int]]:
 
 def encode_stream(coefficients: list[np.ndarray], width: int, height: int) -> bytes:
     """Header, the two tables, and the payload, most significant bits first."""
-    rows = [row for plane in coefficients for row in symbols(plane)]
-    tables = [code_lengths(Counter(s for kind, s, *_ in rows if kind == k)) for k in (0, 1)]
-    books = [codes(*t) for t in tables]
-    bits = "".join(f"{books[k][s][0]:0{books[k][s][1]}b}" + (f"{m:0{n}b}" if n else "") for k, s, m, n in rows)
+    kind, symbol, magnitude, extra = (np.concatenate(c) for c in zip(*(symbols(p) for p in coefficients), strict=True))
+    tables = []
+    code, length = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64)
+    for k in (0, 1):
+        own, counts = np.unique(symbol[kind == k], return_counts=True)
+        tables.append(code_lengths(dict(zip(own.tolist(), counts.tolist(), strict=True))))
+        book = codes(*tables[k])
+        look = np.zeros((272, 2), np.int64)
+        for s, pair in book.items():
+            look[s] = pair
+        code[kind == k], length[kind == k] = look[symbol[kind == k]].T
     packed = b"".join(struct.pack(f"<16H{len(order)}H", *counts, *order) for counts, order in tables)
-    payload = int(bits.ljust(-(-len(bits) // 8) * 8, "0") or "0", 2).to_bytes(-(-len(bits) // 8), "big")
+    value, n = code << extra | magnitude, length + extra
+    ends = np.cumsum(n)
+    row = np.repeat(np.arange(len(n)), n)
+    bits = value[row] >> (ends[row] - 1 - np.arange(len(row))) & 1
+    payload = np.packbits(bits.astype(np.uint8)).tobytes()
     luma, chroma = (c.shape[0] * c.shape[1] for c in coefficients[:2])
     return b"DTE0\2" + struct.pack("<5I", width, height, luma, chroma, 25 + len(packed)) + packed + payload
 
@@ -260,25 +284,40 @@ def decode_stream(data: bytes, shapes: list[tuple]) -> list[np.ndarray]:
         counts = struct.unpack_from("<16H", data, at)
         order = struct.unpack_from(f"<{sum(counts)}H", data, at + 32)
         at += 32 + 2 * sum(counts)
-        books.append({(n, c): s for s, (c, n) in codes(list(counts), list(order)).items()})
+        look = [(0, 0)] * 65536  # by the next 16 bits: symbol and length, 0 for no code
+        for s, (c, n) in codes(list(counts), list(order)).items():
+            if c >> n == 0:
+                look[c << 16 - n : c + 1 << 16 - n] = [(s, n)] * (1 << 16 - n)
+        books.append(look)
     payload = data[start:]
-    whole, total, place = int.from_bytes(payload, "big") if payload else 0, 8 * len(payload), 0
+    total, place = 8 * len(payload), 0
+    octets = np.frombuffer(payload + bytes(4), np.uint8).astype(np.int64)
+    window = (octets[:-3] << 24 | octets[1:-2] << 16 | octets[2:-1] << 8 | octets[3:]).tolist()  # 32 bits from each byte on
+
+    def ended():
+        nonlocal place
+        place = total
+        raise EOFError
 
     def read(n: int) -> int:
         nonlocal place
         if place + n > total:
-            place = total
-            raise EOFError
+            ended()
+        v = window[place >> 3] >> 32 - n - (place & 7) & (1 << n) - 1
         place += n
-        return whole >> total - place & (1 << n) - 1
-
-    def symbol(book: dict) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | read(1)
-            if (n, code) in book:
-                return book[n, code]
-        raise EOFError
+        return v
+
+    def symbol(book: list) -> int:
+        nonlocal place
+        if place >= total:
+            ended()
+        s, n = book[window[place >> 3] >> 16 - (place & 7) & 0xFFFF]
+        if place + (n or 16) > total:
+            ended()
+        place += n or 16
+        if not n:
+            raise EOFError
+        return s
 
     def value(s: int) -> int:
         v = read(s) if s else 0

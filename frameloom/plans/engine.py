@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from frameloom.operators.motion_codec import MotionCodec
 from frameloom.operators.scanline_codec import ScanlineCodec
@@ -37,6 +41,11 @@ class Engine:
         self.controls = P.Controls(**values)
         return self
 
+    def reset_controls(self) -> Engine:
+        """All macro controls at their neutral values; preset and parameters stay."""
+        self.controls = P.Controls()
+        return self
+
     def set_parameter(self, name: str, value: float) -> Engine:
         self.params = P.with_parameter(self.backend, self.params, name, value)
         return self
@@ -59,7 +68,6 @@ class Engine:
         found = P.under_controls(self.backend, self.params, replace(self.controls, **values))
         return {k: v for k, v in found.items() if not k.startswith("cfg.")}
 
-
     def stats(self, frames: DataFrame) -> DataFrame:
         """The counters (stream_id, counter, value) of the same run, with those that all backends have: frames_in,
         keyframes, predicted, blocks_encoded. Codecs without prediction count every frame as a keyframe."""
@@ -102,13 +110,26 @@ def frame_columns(frames: DataFrame) -> list[str]:
 
 def fold_frames(frames: DataFrame, codec, width: int, height: int, tuned=None) -> DataFrame:
     """Frames (stream_id, frame_no, pixels[, reset, controls]) to (stream_id, frame_no, pixels); rgb or rgba, whose
-    alpha passes through. ``codec`` makes a fresh codec for a stream. A frame of another size is an error. Streams are
-    the unit of parallel work."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, rows = codec(), rows.sort_values("frame_no")
-        out = [one_frame(state, r, width, height, tuned) for r in rows.itertuples()]
-        return pd.DataFrame({"stream_id": rows["stream_id"], "frame_no": rows["frame_no"], "pixels": out})
-
-    kind = frames.schema["stream_id"].dataType.simpleString()
-    return frames.select(*frame_columns(frames)).groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, frame_no long, pixels binary")
+    alpha passes through. ``codec`` makes a fresh codec for a stream. A frame of another size is an error.
+
+    Streams are the unit of parallel work. Within a task they lie one after the other in order of frames, and a frame
+    goes out for each that comes in: a task holds a batch of frames (``spark.sql.execution.arrow.maxBytesPerBatch``)
+    and one codec, however long its streams are.
+    """
+    columns = frame_columns(frames)
+    kind = frames.schema["stream_id"].dataType
+    out = pa.schema([("stream_id", to_arrow_type(kind)), ("frame_no", pa.int64()), ("pixels", pa.binary())])
+
+    def fold(batches):
+        stream, state, begun = None, None, False
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = SimpleNamespace(**{c: batch.column(c)[i].as_py() for c in columns})
+                if not begun or row.stream_id != stream:
+                    stream, state, begun = row.stream_id, codec(), True
+                done = one_frame(state, row, width, height, tuned)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((stream, row.frame_no, done), out.types, strict=True)], schema=out)
+
+    rows = frames.select(*columns).withColumn("frame_no", F.col("frame_no").cast("long"))
+    ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
+    return ordered.mapInArrow(fold, f"stream_id {kind.simpleString()}, frame_no long, pixels binary")

@@ -18,14 +18,19 @@ def frame(p, w=48, h=24):
 
 def test_payload_codes():
     rng = random.Random(1)
-    for v in ([0, 0, 1, -2, 0, 3, 4, 0, 0, 0], [], [0] * 300, [1] * 300, [rng.choice((0, 0, 5, -128, 127)) for _ in range(500)]):
-        assert sc.read_zeros(sc.code_zeros(v), len(v)) == v
-    v = [0, 0, 1, -2, 3, -4, 12, 0, 0, 0, -90]
-    assert sc.read_colours(sc.code_colours(v), len(v)) == v and len(sc.code_colours(v)) < len(v)
-    for _ in range(200):
-        v = [rng.choice((0, 0, 0, 3, -4, 9, -128)) for _ in range(rng.randint(0, 90))]
-        assert sc.read_colours(sc.code_colours(v), len(v)) == v
-    assert all(sc.turned(*sc.turned(48, -37, p), -p) == (48, -37) for p in range(4))
+    for n in (0, 1, 7, 300, 500):
+        lines = np.array([[0] * n, [1] * n, [rng.choice((0, 0, 5, -128, 127)) for _ in range(n)]])
+        if n:
+            assert [sc.read_zeros(c, n).tolist() for c in sc.code_zeros(lines)] == lines.tolist()
+    for n in (0, 1, 2, 40, 90, 200):
+        lines = np.array([[rng.choice((0, 0, 0, 3, -4, 9, -128)) for _ in range(n)] for _ in range(60)]).reshape(60, n)
+        coded = sc.code_colours(lines)
+        assert [sc.read_colours(c, n) for c in coded] == lines.tolist()
+    quiet = np.zeros((1, 40), int)
+    quiet[0, 7] = 2
+    assert len(sc.code_colours(quiet)[0]) < 40
+    pair = np.array([-71, 15])
+    assert all(tuple(sc.turned(*sc.turned(*pair, np.array(p)), np.array(-p))) == tuple(pair) for p in range(4))
 
 
 def test_clean_bounds():
