@@ -4,14 +4,18 @@
    A link at ``percent`` needs that share of a text's own n-grams in another text, so a text with too many n-grams
    of its own has no link; the others ("shared" texts) go on with the n-grams that another text has too.
 2. Texts with equal sets are one class. The classes list their n-grams from rare to frequent; two linked classes
-   have one in common among their first ``n - ceil(percent * n) + 1`` (the prefix).
-3. n-grams are hashed into groups; the counts by group are a class's point. For two points the sum of coordinate
-   minima bounds the overlap, and with a box's upper corner it bounds that with all points in the box.
-   First every class is paired with one other, the smallest that shares a prefix n-gram, if the bound allows, and
-   the pairs are verified; then, for prefix n-grams whose classes are not yet in one component, with the smallest of
-   another component. Last, for prefix n-grams still open, an R-tree of their classes' points is searched with each
-   of them, passing over boxes within the own component, so that no link between components is missed.
-4. What survives is verified on the sets themselves, and components of the links are the result.
+   have one in common among their first ``n - ceil(percent * n) + 1`` (the prefix). n-grams are hashed into groups;
+   the counts by group are a class's point, and the sum of coordinate minima of two points bounds their overlap.
+3. The index is an R-tree, first by prefix n-gram, then by size and counts: the entries are sorted so, runs of
+   neighbours are leaves, runs of leaves are boxes, up to one root for each n-gram. It is sorted by ranges and packed
+   partition by partition, so a frequent n-gram's tree is spread over as many tasks as its entries fill.
+4. Along the edges of the tree (an entry and the first of its leaf, a leaf and the first of its box) each class gets
+   a first partner; pairs that the bound allows are verified on their sets, and links make components. The same
+   again, for n-grams whose classes are in several components yet.
+5. Last the trees that are still open are joined with themselves, from the roots down: pairs of boxes, a row each, are
+   split into pairs of the boxes below them unless both lie in one component, their sizes are too far apart, or
+   the summed minima of their upper corners are too small. Pairs of leaves give pairs of points by the same bound, so
+   no link between components is missed. What survives is verified on the sets.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from frameloom.llm import counting
 from frameloom.llm.batches import flat, mix64, words
@@ -61,6 +65,12 @@ def _point(s: np.ndarray) -> bytes:
     return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
 
 
+def _place(n: int, s: np.ndarray) -> int:
+    """Where a class stands among others of an n-gram: by size, then by the counts of four groups."""
+    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)[:4]
+    return min(n, (1 << 31) - 1) << 32 | int.from_bytes(bytes(np.minimum(counts, 255).astype(np.uint8)), "big")
+
+
 def shared_texts(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int, block_bytes: int, fan_bits: int) -> DataFrame:
     """For each row: its id, a hash of its text, the size of its set; for a shared text also digest, point, n-grams
     that other texts have (packed, ``shared``) and the prefix among them (``prefix``)."""
@@ -78,64 +88,28 @@ def shared_texts(docs: DataFrame, id_col: str, text_col: str, n_words: int, perc
         sets = text_sets(table.column("text"), n_words)
         keys = np.unique(np.concatenate(sets))
         often = counting.in_order(got, 0, keys, bits)
-        columns = {k: [] for k in ("n", "digest", "point", "shared", "prefix")}
+        columns = {k: [] for k in ("n", "place", "digest", "point", "shared", "prefix")}
         for s in sets:
             n = len(s)
             df = often[np.searchsorted(keys, s)]
             common = df > 1
             k = int(common.sum())
-            row = [n, None, None, None, None]
+            row = [n, None, None, None, None, None]
             if n and 100 * k >= percent * n:
                 have = s[common]
                 first = k - -(-percent * n // 100) + 1
                 order = np.lexsort((have, df[common]))[:first]
-                row = [n, _digest(s), _point(have), have.tobytes(), have[order].view(np.int64)]
+                row = [n, _place(n, have), _digest(s), _point(have), have.tobytes(), have[order].view(np.int64)]
             for c, v in zip(columns.values(), row, strict=True):
                 c.append(v)
         return pa.table([table.column("doc_id"), table.column("text_hash"), *columns.values()], schema=out)
 
     kind = rows.schema["doc_id"].dataType
-    out = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("point", pa.binary()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-    schema = f"doc_id {kind.simpleString()}, text_hash long, n long, digest binary, point binary, shared binary, prefix array<long>"
+    out = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("digest", pa.binary()), ("point", pa.binary()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = f"doc_id {kind.simpleString()}, text_hash long, n long, place long, digest binary, point binary, shared binary, prefix array<long>"
     return written(blocks.rows.groupBy("block").cogroup(counts.filter("block >= 0").drop("all", "distinct").groupBy("block")).applyInArrow(read, schema))
 
 
-class RTree:
-    """Points packed into boxes of ``fan`` in order of their groups' counts, boxes into boxes, up to a few roots."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, fan: int = 16):
-        order = np.lexsort((*points[:, :4].T, sizes))
-        self.points, self.sizes, self.comps, self.ids = points[order], sizes[order], comps[order], order
-        self.fan = fan
-        high, least, most, one = self.points, self.sizes, self.sizes, self.comps
-        self.levels = []
-        while len(high) > fan:
-            at = np.arange(0, len(high), fan)
-            lows, highs = np.minimum.reduceat(one, at), np.maximum.reduceat(one, at)
-            high, least, most = np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
-            one = np.where(lows == highs, lows, -1)
-            if self.levels:
-                one = np.where(np.minimum.reduceat(self.levels[-1][3], at) < 0, -1, one)
-            self.levels.append((high, least, most, one))
-
-    def search(self, q: np.ndarray, size: int, comp: int, percent: int) -> np.ndarray:
-        """Positions (in the order given) of points of other components that may overlap enough."""
-        here = None
-        for high, least, most, one in reversed(self.levels):
-            here = np.arange(len(high)) if here is None else self._below(here, len(high))
-            here = here[(one[here] != comp) & (100 * most[here] >= percent * size) & (percent * least[here] <= 100 * size)]
-            bound = np.minimum(high[here], q).sum(axis=1)
-            here = here[(100 + percent) * bound >= percent * (size + np.maximum(least[here], -(-percent * size // 100)))]
-        here = np.arange(len(self.points)) if here is None else self._below(here, len(self.points))
-        here = here[self.comps[here] != comp]
-        here = here[may_link(self.points[here], self.sizes[here], q, size, percent)]
-        return self.ids[here]
-
-    def _below(self, boxes: np.ndarray, n: int) -> np.ndarray:
-        out = (boxes[:, None] * self.fan + np.arange(self.fan)).ravel()
-        return out[out < n]
-
-
 def may_link(p, n, q, m, percent: int):
     """Whether the summed coordinate minima allow 100 * overlap >= percent * union."""
     return (100 + percent) * np.minimum(p, q).sum(axis=1) >= percent * (n + m)
@@ -171,59 +145,198 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return written(near.join(side("a", "shared"), "a").join(side("b", "shared"), "b").mapInArrow(by_set, "a binary, b binary"))
 
 
-def _searched(left: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of other components: rows (token, digest, n, comp, point, prefix) searched token by token.
+#: An entry of the tree: the n-gram, its place within the n-gram's tree (size, then counts), the class.
+_ENTRY = ("token", "place", "digest")
+
+
+def _ordered(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _runs(batches, fan: int, schema: list[str]):
+    """Runs of at most ``fan`` neighbouring rows of one token as tables, across the batches of a partition."""
+    held: list[pa.Table] = []
+    token, size = None, 0
+
+    def out():
+        nonlocal size
+        whole, size = pa.concat_tables(held), 0
+        held.clear()
+        return whole
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch]).select(schema)
+        tokens = np.asarray(t.column("token"))
+        at = 0
+        while at < len(tokens):
+            if size and (tokens[at] != token or size == fan):
+                yield out()
+            token = tokens[at]
+            end = at + int(np.searchsorted(tokens[at:], token, "right"))
+            take = min(end - at, fan - size)
+            held.append(t.slice(at, take))
+            size, at = size + take, at + take
+    if size:
+        yield out()
+
+
+def _in_batches(rows, schema: pa.Schema, most: int = 256):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _edges(entries: DataFrame, fan: int = 64) -> DataFrame:
+    """Pairs (a, b) along the edges of the trees of ``entries`` (token, place, digest, comp): of every run the first and
+    each other one of another component, then the same for the firsts, until one is left of each tree."""
+
+    def pack(batches):
+        token, size, head = None, 0, (None, None)  # of the run that the batch before ended in
+        for t in batches:
+            n = t.num_rows
+            if not n:
+                continue
+            tokens = np.asarray(t.column("token"))
+            at = np.arange(n)
+            new = np.ones(n, bool)
+            new[1:] = tokens[1:] != tokens[:-1]
+            new[0] = tokens[0] != token
+            begin = np.maximum.accumulate(np.where(new, at, -1))
+            place = np.where(begin >= 0, at - begin, at + size)
+            first = np.maximum.accumulate(np.where(place % fan == 0, at, -1))
+            take = pa.array(first + 1)
+            whole = [pa.concat_arrays([pa.array([old], pa.binary()), t.column(c)]) for c, old in zip(("digest", "comp"), head, strict=True)]
+            heads = [w.take(take) for w in whole]
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in (*_ENTRY, "comp")), *heads], [*_ENTRY, "comp", "head", "head_comp"])
+            token, size, head = tokens[-1], int(place[-1]) + 1, tuple(h[-1].as_py() for h in heads)
+
+    out, level = None, entries.select(*_ENTRY, "comp")
+    while True:
+        marked = written(_ordered(level, *_ENTRY).mapInArrow(pack, "token long, place long, digest binary, comp binary, head binary, head_comp binary"))
+        pairs = marked.filter("comp <> head_comp").select(F.col("head").alias("a"), F.col("digest").alias("b"))
+        out = pairs if out is None else out.unionByName(pairs)
+        heads = marked.filter("digest = head")
+        several = heads.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+        level = written(heads.join(several, "token").select(*_ENTRY, "comp"))
+        if level.isEmpty():
+            return out
+
+
+_BOX = "token long, box binary, high binary, least long, most long, low_comp binary, high_comp binary"
+_LEAF = _BOX + ", ids array<binary>, sizes array<long>, comps array<binary>, points binary, prefixes array<array<long>>"
+
+
+def _may_hold(high_a, high_b, least_a, least_b, most_a, most_b, percent: int) -> np.ndarray:
+    """Whether two boxes may hold a link, by their sizes and by the summed minima of their upper corners."""
+    bound = np.minimum(high_a, high_b).sum(axis=-1)
+    smaller = np.maximum(least_a, -(-percent * least_b // 100))
+    return (100 * most_a >= percent * least_b) & (100 * most_b >= percent * least_a) & ((100 + percent) * bound >= percent * (smaller + np.maximum(least_b, -(-percent * smaller // 100))))
+
+
+def _pairs_of(a: dict, b: dict | None, token: int, percent: int):
+    """Pairs of ids of two leaves (or of one, if ``b`` is None) that may link and whose least shared n-gram is ``token``."""
+    other = b or a
+    p, q = (np.frombuffer(x["points"], np.uint32).reshape(-1, GROUPS).astype(np.int64) for x in (a, other))
+    n, m = np.array(a["sizes"]), np.array(other["sizes"])
+    low = np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2)
+    fits = (100 + percent) * low >= percent * (n[:, None] + m[None, :])
+    for i, j in np.argwhere(fits):
+        if (b is None and i >= j) or a["comps"][i] == other["comps"][j]:
+            continue
+        if min(set(a["prefixes"][i]).intersection(other["prefixes"][j])) == token:
+            yield a["ids"][i], other["ids"][j]
+
+
+def _candidates(entries: DataFrame, percent: int, leaf: int = 32, fan: int = 16) -> DataFrame:
+    """Pairs (a, b) of other components that the trees of ``entries`` (token, place, digest, n, comp, point, prefix) allow.
 
     A pair that shares several prefix n-grams comes out at the least of them alone.
     """
-    def search(batches):
-        carried: list[pa.Table] = []
-
-        def groups():
-            for b in batches:
-                t = pa.Table.from_batches([b])
-                token = np.asarray(t.column("token"))
-                edges = np.flatnonzero(token[1:] != token[:-1]) + 1 if len(token) else []
-                last = carried[-1].column("token")[-1].as_py() if carried else None
-                if carried and len(token) and token[0] != last:
-                    yield pa.concat_tables(carried)
-                    carried.clear()
-                for i, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(token)], strict=True)):
-                    if i:
-                        yield pa.concat_tables(carried)
-                        carried.clear()
-                    if hi > lo:
-                        carried.append(t.slice(lo, hi - lo))
-            if carried:
-                yield pa.concat_tables(carried)
-
-        a, b = [], []
-        for g in groups():
-            if g.num_rows < 2:
+    members = ("ids", "sizes", "comps", "points", "prefixes")
+    box = ("box", "high", "least", "most", "low_comp", "high_comp")
+
+    def leaves(batches):
+        def rows():
+            for run in _runs(batches, leaf, ["token", "digest", "n", "comp", "point", "prefix"]):
+                ids, comps, sizes = (run.column(c).to_pylist() for c in ("digest", "comp", "n"))
+                high = _points(run.column("point")).max(axis=0).astype(np.uint32).tobytes()
+                points = b"".join(run.column("point").to_pylist())
+                yield run.column("token")[0].as_py(), ids[0], high, min(sizes), max(sizes), min(comps), max(comps), ids, sizes, comps, points, run.column("prefix").to_pylist()
+
+        return _in_batches(rows(), leaf_arrow)
+
+    def boxes(batches):
+        def rows():
+            for run in _runs(batches, fan, ["token", *box]):
+                high = _points(run.column("high")).max(axis=0).astype(np.uint32).tobytes()
+                ids, least, most, low, top = (run.column(c).to_pylist() for c in ("box", "least", "most", "low_comp", "high_comp"))
+                yield run.column("token")[0].as_py(), ids[0], high, min(least), max(most), min(low), max(top), ids
+
+        return _in_batches(rows(), box_arrow)
+
+    def within(batches):
+        for t in batches:
+            rows = t.to_pylist()
+            found = [pair for r in rows if r["low_comp"] != r["high_comp"] for pair in _pairs_of(r, None, r["token"], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    def across(batches):
+        for t in batches:
+            found = [pair for r in t.to_pylist() for pair in _pairs_of(r["l"], r["r"], r["token"], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    def open_pairs(batches):
+        for t in batches:
+            if not t.num_rows:
                 continue
-            ids = g.column("digest").to_pylist()
-            token = g.column("token")[0].as_py()
-            prefixes = [frozenset(x) for x in g.column("prefix").to_pylist()]
-            n = np.asarray(g.column("n"))
-            _, comp = np.unique(np.array(g.column("comp").to_pylist(), dtype="S16"), return_inverse=True)
-            points = _points(g.column("point"))
-            tree = RTree(points, n, comp)
-            for i in range(len(ids)):
-                for j in tree.search(points[i], int(n[i]), int(comp[i]), percent):
-                    if ids[i] < ids[j] and min(prefixes[i] & prefixes[j]) == token:
-                        a.append(ids[i])
-                        b.append(ids[j])
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return left.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a binary, b binary")
+            side = lambda c, e: np.asarray(t.column(f"{e}_{c}"))  # noqa: B023, E731
+            keep = _may_hold(_points(t.column("l_high")), _points(t.column("r_high")), side("least", "l"), side("least", "r"), side("most", "l"), side("most", "r"), percent)
+            yield t.select(["token", "l", "r"]).filter(pa.array(keep))
+
+    spark = entries.sparkSession
+    leaf_schema = spark.createDataFrame([], _LEAF).schema
+    box_schema = spark.createDataFrame([], _BOX + ", below array<binary>").schema
+    leaf_arrow, box_arrow = to_arrow_schema(leaf_schema), to_arrow_schema(box_schema)
+    level = written(_ordered(entries, *_ENTRY).mapInArrow(leaves, leaf_schema))
+    inside = level.mapInArrow(within, "a binary, b binary")
+    several = level.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    bottom = written(level.join(several, "token"))
+    if bottom.isEmpty():
+        return inside
+    # up: boxes of boxes until each tree has one root
+    levels = [bottom.select("token", *box)]
+    while True:
+        up = written(_ordered(levels[-1], "token", "least", "box").mapInArrow(boxes, box_schema))
+        levels.append(up)
+        if up.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+            break
+    # down: pairs of boxes, a row each
+    pairs = levels[-1].filter("low_comp <> high_comp").select("token", F.col("box").alias("l"), F.col("box").alias("r"))
+    for above, here in zip(reversed(levels[1:]), reversed(levels[:-1]), strict=True):
+        down = above.select("token", F.col("box").alias("up"), F.explode("below").alias("box"))
+        down = down.join(here.select("token", *box), ["token", "box"])
+        side = lambda e: down.select("token", F.col("up").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in box))  # noqa: B023, E731
+        split = pairs.join(side("l"), ["token", "l"]).join(side("r"), ["token", "r"])
+        split = split.filter((F.col("l") != F.col("r")) | (F.col("l_box") <= F.col("r_box")))
+        one = (F.col("l_low_comp") == F.col("l_high_comp")) & (F.col("r_low_comp") == F.col("r_high_comp")) & (F.col("l_low_comp") == F.col("r_low_comp"))
+        split = split.filter(~one).select("token", F.col("l_box").alias("l"), F.col("r_box").alias("r"), *(f"{e}_{c}" for e in "lr" for c in ("high", "least", "most")))
+        pairs = written(split.mapInArrow(open_pairs, "token long, l binary, r binary"))
+    held = bottom.select("token", "box", F.struct(*members).alias("held"))
+    ends = pairs.filter("l <> r")
+    for e in "lr":
+        ends = ends.join(held.select("token", F.col("box").alias(e), F.col("held").alias(f"{e}_held")), ["token", e])
+    ends = ends.select("token", F.col("l_held").alias("l"), F.col("r_held").alias("r"))
+    return inside.unionByName(ends.mapInArrow(across, "a binary, b binary"))
 
 
 def _open(posts: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows (token, digest, comp) of n-grams whose classes are in more than one component."""
-    rooted = written(posts.join(comps.withColumnRenamed("key", "digest"), "digest", "left").select("token", "digest", F.coalesce("root", "digest").alias("comp")))
+    """The entries (token, place, digest, comp) of n-grams whose classes are in more than one component."""
+    rooted = written(posts.drop("comp").join(comps.withColumnRenamed("key", "digest"), "digest", "left").select(*_ENTRY, F.coalesce("root", "digest").alias("comp")))
     split = rooted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
     return rooted.join(split, "token")
 
@@ -239,18 +352,15 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     texts = shared_texts(docs, id_col, text_col, n_words, percent, block_bytes, fan_bits)
     mine = texts.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest")
-    classes = texts.filter("digest IS NOT NULL").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "point", "shared", "prefix")))
+    classes = texts.filter("digest IS NOT NULL").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "place", "point", "shared", "prefix")))
     classes = written(classes)
-    posts = written(classes.select(F.explode("prefix").alias("token"), "digest"))
-    first = posts.groupBy("token").agg(F.min("digest").alias("a"), F.count("*").alias("k")).filter("k > 1")
-    star = posts.join(first, "token").filter("a <> digest").groupBy(F.col("digest").alias("b")).agg(F.min("a").alias("a"))
-    comps = merged(None, _close(star, classes, percent))
-    left = _open(posts, comps)
-    low = left.groupBy("token").agg(F.min(F.struct("comp", "digest")).alias("low"))
-    star = left.join(low, "token").filter("comp <> low.comp").select(F.col("low.digest").alias("a"), F.col("digest").alias("b")).distinct()
-    comps = merged(comps, _close(star, classes, percent))
-    left = _open(posts, comps).join(classes.select("digest", "n", "point", "prefix"), "digest").select("token", "digest", "n", "comp", "point", "prefix")
-    comps = merged(comps, _close(_searched(left, percent), classes, percent))
+    posts = written(classes.select(F.explode("prefix").alias("token"), "place", "digest", F.col("digest").alias("comp")))
+    alone_in = posts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    first = _edges(posts.join(alone_in, "token")).groupBy("b").agg(F.min("a").alias("a"))
+    comps = merged(None, _close(first, classes, percent))
+    comps = merged(comps, _close(_edges(_open(posts, comps)).distinct(), classes, percent))
+    left = _open(posts, comps).join(classes.select("digest", "n", "point", "prefix"), "digest")
+    comps = merged(comps, _close(_candidates(left, percent), classes, percent))
     root = mine.filter("digest IS NOT NULL").join(comps.withColumnRenamed("key", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
     lowest = written(root.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     of_class = root.groupBy("digest").agg(F.first("root").alias("root")).join(lowest, "root").select("digest", "component_id")

@@ -64,17 +64,31 @@ def test_jaccard_components(spark):
     assert len({find(i) for i in range(len(sets))}) < len(sets)
 
 
-def test_rtree_finds_all_that_the_bound_allows():
+def test_rtree_finds_all_that_the_bound_allows(spark):
     rng = np.random.default_rng(3)
     base = rng.poisson(3, (40, ngram_jaccard.GROUPS))
     points = np.maximum(0, np.repeat(base, 10, 0) + rng.integers(-1, 2, (400, ngram_jaccard.GROUPS)) * (rng.random((400, ngram_jaccard.GROUPS)) < 0.2))
     sizes, comps = points.sum(1), rng.integers(0, 300, 400)
-    tree = ngram_jaccard.RTree(points, sizes, comps)
+    tokens = [sorted({int(t) for t in rng.integers(0, 3, rng.integers(1, 3))} | ({9} if i % 2 else {i % 10 + 20})) for i in range(400)]
+    name = lambda v: b"%06d" % v
+    rows = [(t, int(sizes[i]), name(i), int(sizes[i]), name(comps[i]), points[i].astype(np.uint32).tobytes(), tokens[i]) for i in range(400) for t in tokens[i]]
+    entries = spark.createDataFrame(rows, "token long, place long, digest binary, n long, comp binary, point binary, prefix array<long>").repartition(5)
+    want = set()
     for i in range(400):
-        want = np.flatnonzero((comps != comps[i]) & ngram_jaccard.may_link(points, sizes, points[i], int(sizes[i]), 85))
-        got = np.sort(tree.search(points[i], int(sizes[i]), int(comps[i]), 85))
-        small = np.minimum(sizes, sizes[i]) * 100 >= 85 * np.maximum(sizes, sizes[i])
-        assert set(want[small[want]]) <= set(got) <= set(want)
+        for j in np.flatnonzero((comps != comps[i]) & ngram_jaccard.may_link(points, sizes, points[i], int(sizes[i]), 85)):
+            if i < j and set(tokens[i]) & set(tokens[j]):
+                want.add((i, int(j)))
+    for leaf, fan in ((32, 16), (4, 3)):
+        got = [tuple(sorted((int(r.a), int(r.b)))) for r in ngram_jaccard._candidates(entries, 85, leaf, fan).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 100
+
+
+def test_tree_edges_reach_every_entry_and_stay_few(spark):
+    rows = [(t, i, b"%05d" % i, b"%05d" % i) for t, k in ((1, 700), (2, 3), (3, 65)) for i in range(k)]
+    entries = spark.createDataFrame(rows, "token long, place long, digest binary, comp binary").repartition(5)
+    edges = [(bytes(r.a), bytes(r.b)) for r in ngram_jaccard._edges(entries, 8).collect()]
+    assert len(edges) == 699 + 2 + 64 and {b for _, b in edges} | {b"00000"} == {b"%05d" % i for i in range(700)}
 
 
 def test_language_model_accuracy_on_held_out_text():
