@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +41,14 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0], null
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that has done with a large block keeps its executor's share small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(table: pa.RecordBatch | pa.Table, text: str, most: int):
     """Row ranges of at most ``most`` bytes of text, or of one row."""
     column = table.column(text)

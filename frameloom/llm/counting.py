@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.llm.batches import give_back
 from frameloom.session import written
 
 
@@ -122,6 +123,8 @@ def _added(pieces: DataFrame, runs: int, fan_bits: int, key_bytes: tuple[int, ..
         back = (np.minimum(whole, most) if most else whole)[place]
         n = table.num_rows
         ids = [table.column(c).to_pylist() for c in ("run", "kind", "piece")]
+        del unique, place
+        give_back()
         return _table(list(zip(*ids, (narrow(back[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), [int(whole.sum()), *[0] * (n - 1)], [int((whole > 0).sum()), *[0] * (n - 1)], strict=True)), _TOTALS)
 
     if runs <= 1 << fan_bits:
@@ -176,6 +179,7 @@ def totals(blocks: Blocks, emit: Callable[[pa.Table], list[tuple[np.ndarray, np.
         for kind, (keys, counts) in enumerate(emit(table)):
             at = cut(keys, bits)
             out += [(key[0].as_py(), kind, j, pack(keys[a:b], bits, key_bytes[kind]), narrow(counts[a:b])) for j, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        give_back()
         return _table(out, _PIECES)
 
     packed = blocks.rows.groupBy("block").applyInArrow(send, _PIECES_SQL)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from frameloom.llm import counting
-from frameloom.llm.batches import END, flat, mix64, words
+from frameloom.llm.batches import END, flat, give_back, mix64, words
 
 
 def grams(column, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -184,13 +184,16 @@ def score(
         automaton = Automaton(keys, have, lambda o, unique: counting.in_order(got, o, unique, bits), order, mu, total, vocabulary)
         first = np.cumsum(n) - n
         base = automaton.arc_weight[automaton.arc[0]]
-        return pa.table(
+        done = pa.table(
             [
                 table.column(id_col), table.column(train_col), n, np.add.reduceat(automaton.known.astype(np.int64), first),
                 np.full(len(n), total, np.int64), np.add.reduceat(base, first), automaton.read(n, segment),
             ],
             schema=out,
         )
+        del keys, have, automaton, base
+        give_back()
+        return done
 
     kind = rows.schema[id_col].dataType
     schema = f"`{id_col}` {kind.simpleString()}, `{train_col}` boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

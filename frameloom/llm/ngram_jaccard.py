@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from frameloom.llm import counting
-from frameloom.llm.batches import flat, mix64, words
+from frameloom.llm.batches import flat, give_back, mix64, words
 from frameloom.llm.components import merged
 from frameloom.session import written
 
@@ -102,7 +102,10 @@ def shared_texts(docs: DataFrame, id_col: str, text_col: str, n_words: int, perc
                 row = [n, _place(n, have), _digest(s), _point(have), have.tobytes(), have[order].view(np.int64)]
             for c, v in zip(columns.values(), row, strict=True):
                 c.append(v)
-        return pa.table([table.column("doc_id"), table.column("text_hash"), *columns.values()], schema=out)
+        done = pa.table([table.column("doc_id"), table.column("text_hash"), *columns.values()], schema=out)
+        del sets, keys, often, columns
+        give_back()
+        return done
 
     kind = rows.schema["doc_id"].dataType
     out = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("digest", pa.binary()), ("point", pa.binary()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
@@ -133,12 +136,13 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def by_set(batches):
         for t in batches:
             keep = []
-            for n, m, x, y in zip(*(t.column(c).to_pylist() for c in ("n_a", "n_b", "x_a", "x_b")), strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+            for n, m, x, y in zip(*(t.column(c) for c in ("n_a", "n_b", "x_a", "x_b")), strict=True):
+                both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])  # read where they lie
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
-                keep.append((100 + percent) * same >= percent * (n + m))
+                keep.append((100 + percent) * same >= percent * (n.as_py() + m.as_py()))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     near = pairs.join(side("a", "point"), "a").join(side("b", "point"), "b").mapInArrow(by_point, "a binary, b binary")
     near = written(near)
