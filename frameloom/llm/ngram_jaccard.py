@@ -9,9 +9,8 @@
 3. The index is an R-tree, first by prefix n-gram, then by size and counts: the entries are sorted so, runs of
    neighbours are leaves, runs of leaves are boxes, up to one root for each n-gram. It is sorted by ranges and packed
    partition by partition, so a frequent n-gram's tree is spread over as many tasks as its entries fill.
-4. Along the edges of the tree (an entry and the first of its leaf, a leaf and the first of its box) each class gets
-   a first partner; pairs that the bound allows are verified on their sets, and links make components. The same
-   again, for n-grams whose classes are in several components yet.
+4. Along the edges of the tree (an entry and the first of its run, that and the first of the tree) each class gets
+   two first partners; pairs that the bound allows are verified on their sets, and links make components.
 5. Last the trees that are still open are joined with themselves, from the roots down: pairs of boxes, a row each, are
    split into pairs of the boxes below them unless both lie in one component, their sizes are too far apart, or
    the summed minima of their upper corners are too small. Pairs of leaves give pairs of points by the same bound, so
@@ -124,29 +123,26 @@ def _points(column) -> np.ndarray:
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of digests that are links: first by their points, then by their sets."""
-    def side(end, what):
-        return classes.select(F.col("digest").alias(end), F.col("n").alias(f"n_{end}"), F.col(what).alias(f"x_{end}"))
+    def side(end):
+        return classes.select(F.col("digest").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "point", "shared")))
 
-    def by_point(batches):
+    def check(batches):
         for t in batches:
+            if not t.num_rows:
+                continue
             n, m = (np.asarray(t.column(c)) for c in ("n_a", "n_b"))
-            keep = may_link(_points(t.column("x_a")), n, _points(t.column("x_b")), m, percent) if t.num_rows else np.zeros(0, bool)
-            yield t.select(["a", "b"]).filter(pa.array(keep))
-
-    def by_set(batches):
-        for t in batches:
-            keep = []
-            for n, m, x, y in zip(*(t.column(c) for c in ("n_a", "n_b", "x_a", "x_b")), strict=True):
-                both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])  # read where they lie
-                both.sort()
+            keep = may_link(_points(t.column("point_a")), n, _points(t.column("point_b")), m, percent)
+            a, b = t.column("shared_a"), t.column("shared_b")
+            for i in np.flatnonzero(keep):
+                both = np.concatenate([np.frombuffer(v[i].as_buffer(), np.uint64) for v in (a, b)])  # read where they lie
+                both.sort(kind="stable")  # two sorted runs are merged
                 same = int((both[1:] == both[:-1]).sum())
-                keep.append((100 + percent) * same >= percent * (n.as_py() + m.as_py()))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep[i] = (100 + percent) * same >= percent * (n[i] + m[i])
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+            del a, b
             give_back()
 
-    near = pairs.join(side("a", "point"), "a").join(side("b", "point"), "b").mapInArrow(by_point, "a binary, b binary")
-    near = written(near)
-    return written(near.join(side("a", "shared"), "a").join(side("b", "shared"), "b").mapInArrow(by_set, "a binary, b binary"))
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a binary, b binary"))
 
 
 #: An entry of the tree: the n-gram, its place within the n-gram's tree (size, then counts), the class.
@@ -195,40 +191,36 @@ def _in_batches(rows, schema: pa.Schema, most: int = 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def _edges(entries: DataFrame, fan: int = 64) -> DataFrame:
-    """Pairs (a, b) along the edges of the trees of ``entries`` (token, place, digest, comp): of every run the first and
-    each other one of another component, then the same for the firsts, until one is left of each tree."""
-
-    def pack(batches):
-        token, size, head = None, 0, (None, None)  # of the run that the batch before ended in
-        for t in batches:
-            n = t.num_rows
-            if not n:
-                continue
-            tokens = np.asarray(t.column("token"))
-            at = np.arange(n)
-            new = np.ones(n, bool)
-            new[1:] = tokens[1:] != tokens[:-1]
-            new[0] = tokens[0] != token
-            begin = np.maximum.accumulate(np.where(new, at, -1))
-            place = np.where(begin >= 0, at - begin, at + size)
-            first = np.maximum.accumulate(np.where(place % fan == 0, at, -1))
-            take = pa.array(first + 1)
-            whole = [pa.concat_arrays([pa.array([old], pa.binary()), t.column(c)]) for c, old in zip(("digest", "comp"), head, strict=True)]
-            heads = [w.take(take) for w in whole]
-            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in (*_ENTRY, "comp")), *heads], [*_ENTRY, "comp", "head", "head_comp"])
-            token, size, head = tokens[-1], int(place[-1]) + 1, tuple(h[-1].as_py() for h in heads)
-
-    out, level = None, entries.select(*_ENTRY, "comp")
-    while True:
-        marked = written(_ordered(level, *_ENTRY).mapInArrow(pack, "token long, place long, digest binary, comp binary, head binary, head_comp binary"))
-        pairs = marked.filter("comp <> head_comp").select(F.col("head").alias("a"), F.col("digest").alias("b"))
-        out = pairs if out is None else out.unionByName(pairs)
-        heads = marked.filter("digest = head")
-        several = heads.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-        level = written(heads.join(several, "token").select(*_ENTRY, "comp"))
-        if level.isEmpty():
-            return out
+def _edges(entries: DataFrame, fan: int = 256) -> DataFrame:
+    """Pairs (a, b) along the edges of the trees of ``entries`` (token, place, digest): of every run of neighbours the
+    first and each other one, then the first of the tree and the firsts of its runs."""
+
+    def pack(most: int):
+        def pack(batches):
+            token, size, head = None, 0, None  # of the run that the batch before ended in
+            for t in batches:
+                n = t.num_rows
+                if not n:
+                    continue
+                tokens = np.asarray(t.column("token"))
+                at = np.arange(n)
+                new = np.ones(n, bool)
+                new[1:] = tokens[1:] != tokens[:-1]
+                new[0] = tokens[0] != token
+                begin = np.maximum.accumulate(np.where(new, at, -1))
+                place = np.where(begin >= 0, at - begin, at + size)
+                first = np.maximum.accumulate(np.where((place % most == 0) if most else place == 0, at, -1))
+                heads = pa.concat_arrays([pa.array([head], pa.binary()), t.column("digest")]).take(pa.array(first + 1))
+                yield pa.RecordBatch.from_arrays([*(t.column(c) for c in _ENTRY), heads], [*_ENTRY, "head"])
+                token, size, head = tokens[-1], int(place[-1]) + 1, heads[-1].as_py()
+
+        return pack
+
+    schema = "token long, place long, digest binary, head binary"
+    runs = written(_ordered(entries.select(*_ENTRY), *_ENTRY).mapInArrow(pack(fan), schema))
+    firsts = runs.filter("digest = head").drop("head").repartition("token").sortWithinPartitions(*_ENTRY)
+    both = runs.unionByName(firsts.mapInArrow(pack(0), schema))
+    return both.filter("digest <> head").select(F.col("head").alias("a"), F.col("digest").alias("b"))
 
 
 _BOX = "token long, box binary, high binary, least long, most long, low_comp binary, high_comp binary"
@@ -242,18 +234,35 @@ def _may_hold(high_a, high_b, least_a, least_b, most_a, most_b, percent: int) ->
     return (100 * most_a >= percent * least_b) & (100 * most_b >= percent * least_a) & ((100 + percent) * bound >= percent * (smaller + np.maximum(least_b, -(-percent * smaller // 100))))
 
 
-def _pairs_of(a: dict, b: dict | None, token: int, percent: int):
+class _Leaf:
+    """The members of a leaf as arrays; their prefixes become sets when a pair asks for them."""
+
+    def __init__(self, held: pa.StructScalar | dict):
+        self.ids = held["ids"].values
+        self.sizes = np.asarray(held["sizes"].values)
+        self.comps = held["comps"].as_py()
+        self.points = np.frombuffer(held["points"].as_buffer(), np.uint32).reshape(-1, GROUPS)
+        self.prefixes = held["prefixes"].values
+        self.sets: dict[int, frozenset] = {}
+
+    def prefix(self, i: int) -> frozenset:
+        if i not in self.sets:
+            self.sets[i] = frozenset(np.asarray(self.prefixes[i].values).tolist())
+        return self.sets[i]
+
+
+def _pairs_of(a: _Leaf, b: _Leaf | None, token: int, percent: int):
     """Pairs of ids of two leaves (or of one, if ``b`` is None) that may link and whose least shared n-gram is ``token``."""
     other = b or a
-    p, q = (np.frombuffer(x["points"], np.uint32).reshape(-1, GROUPS).astype(np.int64) for x in (a, other))
-    n, m = np.array(a["sizes"]), np.array(other["sizes"])
-    low = np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2)
-    fits = (100 + percent) * low >= percent * (n[:, None] + m[None, :])
-    for i, j in np.argwhere(fits):
-        if (b is None and i >= j) or a["comps"][i] == other["comps"][j]:
-            continue
-        if min(set(a["prefixes"][i]).intersection(other["prefixes"][j])) == token:
-            yield a["ids"][i], other["ids"][j]
+    codes = {c: k for k, c in enumerate({*a.comps, *other.comps})}
+    p, q = (np.array([codes[c] for c in leaf.comps]) for leaf in (a, other))
+    low = np.minimum(a.points[:, None, :], other.points[None, :, :]).sum(axis=2, dtype=np.int64)
+    fits = ((100 + percent) * low >= percent * (a.sizes[:, None] + other.sizes[None, :])) & (p[:, None] != q[None, :])
+    if b is None:
+        fits = np.triu(fits, 1)
+    for i, j in np.argwhere(fits).tolist():
+        if min(a.prefix(i) & other.prefix(j)) == token:
+            yield a.ids[i], other.ids[j]
 
 
 def _candidates(entries: DataFrame, percent: int, leaf: int = 32, fan: int = 16) -> DataFrame:
@@ -265,14 +274,30 @@ def _candidates(entries: DataFrame, percent: int, leaf: int = 32, fan: int = 16)
     box = ("box", "high", "least", "most", "low_comp", "high_comp")
 
     def leaves(batches):
-        def rows():
-            for run in _runs(batches, leaf, ["token", "digest", "n", "comp", "point", "prefix"]):
-                ids, comps, sizes = (run.column(c).to_pylist() for c in ("digest", "comp", "n"))
-                high = _points(run.column("point")).max(axis=0).astype(np.uint32).tobytes()
-                points = b"".join(run.column("point").to_pylist())
-                yield run.column("token")[0].as_py(), ids[0], high, min(sizes), max(sizes), min(comps), max(comps), ids, sizes, comps, points, run.column("prefix").to_pylist()
-
-        return _in_batches(rows(), leaf_arrow)
+        def packed(runs: list[pa.Table]) -> pa.RecordBatch:
+            whole = pa.concat_tables(runs).combine_chunks()
+            ends = np.concatenate([[0], np.cumsum([r.num_rows for r in runs])])
+            at = pa.array(ends, pa.int32())
+            listed = lambda c: pa.ListArray.from_arrays(at, whole.column(c).combine_chunks() if isinstance(whole.column(c), pa.ChunkedArray) else whole.column(c))
+            points, comps, sizes = _points(whole.column("point")).astype(np.uint32), whole.column("comp").to_pylist(), np.asarray(whole.column("n"))
+            high = np.maximum.reduceat(points, ends[:-1])
+            each = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            columns = [
+                whole.column("token").take(at[:-1]), whole.column("digest").take(at[:-1]), pa.array([h.tobytes() for h in high], pa.binary()),
+                pa.array(np.minimum.reduceat(sizes, ends[:-1])), pa.array(np.maximum.reduceat(sizes, ends[:-1])),
+                pa.array([min(comps[i:j]) for i, j in each], pa.binary()), pa.array([max(comps[i:j]) for i, j in each], pa.binary()),
+                listed("digest"), listed("n"), listed("comp"), pa.array([points[i:j].tobytes() for i, j in each], pa.binary()), listed("prefix"),
+            ]
+            return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=leaf_schema.names)
+
+        held: list[pa.Table] = []
+        for run in _runs(batches, leaf, ["token", "digest", "n", "comp", "point", "prefix"]):
+            held.append(run)
+            if len(held) == 256:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
 
     def boxes(batches):
         def rows():
@@ -283,16 +308,19 @@ def _candidates(entries: DataFrame, percent: int, leaf: int = 32, fan: int = 16)
 
         return _in_batches(rows(), box_arrow)
 
+    def found(pairs) -> pa.RecordBatch:
+        pairs = list(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([f[k].as_py() for f in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
     def within(batches):
         for t in batches:
-            rows = t.to_pylist()
-            found = [pair for r in rows if r["low_comp"] != r["high_comp"] for pair in _pairs_of(r, None, r["token"], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            mixed = [i for i in range(t.num_rows) if t.column("low_comp")[i] != t.column("high_comp")[i]]
+            yield found(pair for i in mixed for pair in _pairs_of(_Leaf({c: t.column(c)[i] for c in members}), None, t.column("token")[i].as_py(), percent))
 
     def across(batches):
         for t in batches:
-            found = [pair for r in t.to_pylist() for pair in _pairs_of(r["l"], r["r"], r["token"], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            ends = ((_Leaf(t.column("l")[i]), _Leaf(t.column("r")[i]), t.column("token")[i].as_py()) for i in range(t.num_rows))
+            yield found(pair for left, right, token in ends for pair in _pairs_of(left, right, token, percent))
 
     def open_pairs(batches):
         for t in batches:
@@ -305,7 +333,7 @@ def _candidates(entries: DataFrame, percent: int, leaf: int = 32, fan: int = 16)
     spark = entries.sparkSession
     leaf_schema = spark.createDataFrame([], _LEAF).schema
     box_schema = spark.createDataFrame([], _BOX + ", below array<binary>").schema
-    leaf_arrow, box_arrow = to_arrow_schema(leaf_schema), to_arrow_schema(box_schema)
+    box_arrow = to_arrow_schema(box_schema)
     level = written(_ordered(entries, *_ENTRY).mapInArrow(leaves, leaf_schema))
     inside = level.mapInArrow(within, "a binary, b binary")
     several = level.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
@@ -340,7 +368,7 @@ def _candidates(entries: DataFrame, percent: int, leaf: int = 32, fan: int = 16)
 
 def _open(posts: DataFrame, comps: DataFrame) -> DataFrame:
     """The entries (token, place, digest, comp) of n-grams whose classes are in more than one component."""
-    rooted = written(posts.drop("comp").join(comps.withColumnRenamed("key", "digest"), "digest", "left").select(*_ENTRY, F.coalesce("root", "digest").alias("comp")))
+    rooted = written(posts.join(comps.withColumnRenamed("key", "digest"), "digest", "left").select(*_ENTRY, F.coalesce("root", "digest").alias("comp")))
     split = rooted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
     return rooted.join(split, "token")
 
@@ -358,11 +386,9 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     mine = texts.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest")
     classes = texts.filter("digest IS NOT NULL").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "place", "point", "shared", "prefix")))
     classes = written(classes)
-    posts = written(classes.select(F.explode("prefix").alias("token"), "place", "digest", F.col("digest").alias("comp")))
-    alone_in = posts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    first = _edges(posts.join(alone_in, "token")).groupBy("b").agg(F.min("a").alias("a"))
-    comps = merged(None, _close(first, classes, percent))
-    comps = merged(comps, _close(_edges(_open(posts, comps)).distinct(), classes, percent))
+    posts = written(classes.select(F.explode("prefix").alias("token"), "place", "digest"))
+    partners = _edges(posts).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
+    comps = merged(None, _close(partners.select(F.explode("a").alias("a"), "b"), classes, percent))
     left = _open(posts, comps).join(classes.select("digest", "n", "point", "prefix"), "digest")
     comps = merged(comps, _close(_candidates(left, percent), classes, percent))
     root = mine.filter("digest IS NOT NULL").join(comps.withColumnRenamed("key", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
