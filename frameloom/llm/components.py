@@ -8,19 +8,37 @@ from pyspark.sql import functions as F
 from frameloom.session import written
 
 
-def components(links: DataFrame) -> DataFrame:
+class Deal:
+    """How a table of a known number of rows is dealt for joins and groups.
+
+    Few rows get few partitions, one for each ``rows_a_task``. Beyond ``most`` rows Spark's own shuffles, with their
+    adaptive merging and skew handling, do it.
+    """
+
+    def __init__(self, rows: int, rows_a_task: int = 100_000, most: int = 2_000_000):
+        self.n = max(1, -(-rows // rows_a_task)) if rows <= most else None
+
+    def __call__(self, df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(self.n, *keys) if self.n else df
+
+    def ordered(self, df: DataFrame, *keys: str) -> DataFrame:
+        return (df.repartitionByRange(self.n, *keys) if self.n else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+
+
+def components(links: DataFrame, deal: Deal) -> DataFrame:
     """``links`` (a, b) to (key, root): the smallest key that each key with a link can reach.
 
     In a round every key takes the smallest label among its neighbours', then the label of that label, so chains
     shorten by halves. Rounds end when no label changes. Joins are plain ones, which a hot key can't hold up.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct())
-    label = written(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("root")))
+    both = written(deal(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b"), "a").distinct())
+    label = written(deal(both, "a").groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("root")))
     while True:
-        near = both.join(label.select(F.col("key").alias("b"), "root"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
-        low = label.join(near, "key").select("key", "root", F.least("root", "near").alias("low"))
+        near = deal(both, "b").join(deal(label.select(F.col("key").alias("b"), "root"), "b"), "b")
+        near = deal(near, "a").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
+        low = deal(label, "key").join(near, "key").select("key", "root", F.least("root", "near").alias("low"))
         jump = label.select(F.col("key").alias("low"), F.col("root").alias("far"))
-        step = low.join(jump, "low").select("key", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("moved"))
+        step = deal(low, "low").join(deal(jump, "low"), "low").select("key", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("moved"))
         step = written(step)
         label = step.select("key", "root")
         if step.filter("moved").isEmpty():
@@ -28,15 +46,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components (key, root) of all links so far: those of ``comps`` joined up by ``links`` (a, b).
+    """Components (key, root) of all links so far: those of ``comps`` joined up by ``links`` (a, b), a written table.
 
     Links are first moved to the roots of their ends, so that the rounds see one key for each component.
     """
     if comps is None:
-        return components(links)
-    roots = lambda end: comps.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}"))
-    ends = links.join(roots("a"), "a", "left").join(roots("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    up = components(ends)
-    moved = comps.join(up.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
-    fresh = up.join(comps.select("key"), "key", "left_anti")
+        return components(links, Deal(2 * links.count()))
+    deal = Deal(2 * links.count() + comps.count())
+    roots = lambda end: deal(comps.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}")), end)
+    ends = deal(deal(links, "a").join(roots("a"), "a", "left"), "b").join(roots("b"), "b", "left")
+    up = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), deal)
+    moved = deal(comps, "root").join(deal(up.select(F.col("key").alias("root"), F.col("root").alias("to")), "root"), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+    fresh = deal(up, "key").join(deal(comps.select("key"), "key"), "key", "left_anti")
     return written(moved.unionByName(fresh))

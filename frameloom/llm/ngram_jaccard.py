@@ -9,8 +9,9 @@
 3. The index is an R-tree, first by prefix n-gram, then by size and counts: the entries are sorted so, runs of
    neighbours are leaves, runs of leaves are boxes, up to one root for each n-gram. It is sorted by ranges and packed
    partition by partition, so a frequent n-gram's tree is spread over as many tasks as its entries fill.
-4. Along the edges of the tree (an entry and the first of its run, that and the first of the tree) each class gets
-   two first partners; pairs that the bound allows are verified on their sets, and links make components.
+4. Along the edges of the tree (an entry, the one before it, the first of its run and of the tree) each class gets
+   up to four first partners; pairs that the bound allows are verified on their sets, and links make components. The same
+   again with one entry of each component, for n-grams whose classes are in several.
 5. Last the trees that are still open are joined with themselves, from the roots down: pairs of boxes, a row each, are
    split into pairs of the boxes below them unless both lie in one component, their sizes are too far apart, or
    the summed minima of their upper corners are too small. Pairs of leaves give pairs of points by the same bound, so
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from frameloom.llm import counting
 from frameloom.llm.batches import flat, give_back, mix64, words
-from frameloom.llm.components import merged
+from frameloom.llm.components import Deal, merged
 from frameloom.session import written
 
 GROUPS = 64
@@ -142,17 +144,16 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             del a, b
             give_back()
 
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a binary, b binary"))
+    pairs = written(pairs)
+    deal = Deal(pairs.count(), rows_a_task=5_000, most=500_000)  # a row holds two sets
+    joined = deal(deal(pairs, "a").join(deal(side("a"), "a"), "a"), "b").join(deal(side("b"), "b"), "b")
+    return written(joined.mapInArrow(check, "a binary, b binary"))
 
 
 #: An entry of the tree: the n-gram, its place within the n-gram's tree (size, then counts), the class.
 _ENTRY = ("token", "place", "digest")
 
 
-def _ordered(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
 def _runs(batches, fan: int, schema: list[str]):
     """Runs of at most ``fan`` neighbouring rows of one token as tables, across the batches of a partition."""
     held: list[pa.Table] = []
@@ -192,12 +193,12 @@ def _in_batches(rows, schema: pa.Schema, most: int = 256):
 
 
 def _edges(entries: DataFrame, fan: int = 256) -> DataFrame:
-    """Pairs (a, b) along the edges of the trees of ``entries`` (token, place, digest): of every run of neighbours the
-    first and each other one, then the first of the tree and the firsts of its runs."""
+    """Edges (a, b, before) of the trees of ``entries`` (token, place, digest): of every run of neighbours the first, each
+    other one and the one before it, then the same of the first of the tree and the firsts of its runs."""
 
     def pack(most: int):
         def pack(batches):
-            token, size, head = None, 0, None  # of the run that the batch before ended in
+            token, size, head, last = None, 0, None, None  # of the run that the batch before ended in, and its last entry
             for t in batches:
                 n = t.num_rows
                 if not n:
@@ -211,16 +212,21 @@ def _edges(entries: DataFrame, fan: int = 256) -> DataFrame:
                 place = np.where(begin >= 0, at - begin, at + size)
                 first = np.maximum.accumulate(np.where((place % most == 0) if most else place == 0, at, -1))
                 heads = pa.concat_arrays([pa.array([head], pa.binary()), t.column("digest")]).take(pa.array(first + 1))
-                yield pa.RecordBatch.from_arrays([*(t.column(c) for c in _ENTRY), heads], [*_ENTRY, "head"])
-                token, size, head = tokens[-1], int(place[-1]) + 1, heads[-1].as_py()
+                before = pa.concat_arrays([pa.array([last], pa.binary()), t.column("digest")[:-1]])
+                before = pc.if_else(pa.array(place > 0), before, t.column("digest"))
+                yield pa.RecordBatch.from_arrays([*(t.column(c) for c in _ENTRY), heads, before], [*_ENTRY, "head", "before"])
+                token, size, head, last = tokens[-1], int(place[-1]) + 1, heads[-1].as_py(), t.column("digest")[-1].as_py()
 
         return pack
 
-    schema = "token long, place long, digest binary, head binary"
-    runs = written(_ordered(entries.select(*_ENTRY), *_ENTRY).mapInArrow(pack(fan), schema))
-    firsts = runs.filter("digest = head").drop("head").repartition("token").sortWithinPartitions(*_ENTRY)
-    both = runs.unionByName(firsts.mapInArrow(pack(0), schema))
-    return both.filter("digest <> head").select(F.col("head").alias("a"), F.col("digest").alias("b"))
+    schema = "token long, place long, digest binary, head binary, before binary"
+    deal = Deal(entries.count())
+    runs = written(deal.ordered(entries.select(*_ENTRY), *_ENTRY).mapInArrow(pack(fan), schema))
+    firsts = runs.filter("digest = head").select(*_ENTRY)
+    firsts = deal(firsts, "token") if deal.n else firsts.repartition("token")
+    firsts = firsts.sortWithinPartitions(*_ENTRY)
+    both = runs.unionByName(firsts.mapInArrow(pack(0), schema)).filter("digest <> head")
+    return both.select(F.col("head").alias("a"), F.col("before"), F.col("digest").alias("b"))
 
 
 _BOX = "token long, box binary, high binary, least long, most long, low_comp binary, high_comp binary"
@@ -334,43 +340,49 @@ def _candidates(entries: DataFrame, percent: int, leaf: int = 32, fan: int = 16)
     leaf_schema = spark.createDataFrame([], _LEAF).schema
     box_schema = spark.createDataFrame([], _BOX + ", below array<binary>").schema
     box_arrow = to_arrow_schema(box_schema)
-    level = written(_ordered(entries, *_ENTRY).mapInArrow(leaves, leaf_schema))
+    rows = entries.count()
+    deal = Deal(rows)
+    level = written(Deal(rows, rows_a_task=5_000).ordered(entries, *_ENTRY).mapInArrow(leaves, leaf_schema))
     inside = level.mapInArrow(within, "a binary, b binary")
-    several = level.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    bottom = written(level.join(several, "token"))
+    several = deal(level.select("token"), "token").groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    bottom = written(deal(level, "token").join(several, "token"))
     if bottom.isEmpty():
         return inside
     # up: boxes of boxes until each tree has one root
     levels = [bottom.select("token", *box)]
     while True:
-        up = written(_ordered(levels[-1], "token", "least", "box").mapInArrow(boxes, box_schema))
+        up = written(deal.ordered(levels[-1], "token", "least", "box").mapInArrow(boxes, box_schema))
         levels.append(up)
-        if up.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+        if deal(up.select("token"), "token").groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
             break
     # down: pairs of boxes, a row each
     pairs = levels[-1].filter("low_comp <> high_comp").select("token", F.col("box").alias("l"), F.col("box").alias("r"))
     for above, here in zip(reversed(levels[1:]), reversed(levels[:-1]), strict=True):
         down = above.select("token", F.col("box").alias("up"), F.explode("below").alias("box"))
-        down = down.join(here.select("token", *box), ["token", "box"])
-        side = lambda e: down.select("token", F.col("up").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in box))  # noqa: B023, E731
-        split = pairs.join(side("l"), ["token", "l"]).join(side("r"), ["token", "r"])
+        at = Deal(pairs.count() * fan * fan)
+        down = deal(down, "token", "box").join(deal(here.select("token", *box), "token", "box"), ["token", "box"])
+        side = lambda e: at(down.select("token", F.col("up").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in box)), "token", e)  # noqa: B023, E731
+        split = at(at(pairs, "token", "l").join(side("l"), ["token", "l"]), "token", "r").join(side("r"), ["token", "r"])
         split = split.filter((F.col("l") != F.col("r")) | (F.col("l_box") <= F.col("r_box")))
         one = (F.col("l_low_comp") == F.col("l_high_comp")) & (F.col("r_low_comp") == F.col("r_high_comp")) & (F.col("l_low_comp") == F.col("r_low_comp"))
         split = split.filter(~one).select("token", F.col("l_box").alias("l"), F.col("r_box").alias("r"), *(f"{e}_{c}" for e in "lr" for c in ("high", "least", "most")))
         pairs = written(split.mapInArrow(open_pairs, "token long, l binary, r binary"))
     held = bottom.select("token", "box", F.struct(*members).alias("held"))
     ends = pairs.filter("l <> r")
+    at = Deal(pairs.count(), rows_a_task=500, most=100_000)  # a row holds two leaves
     for e in "lr":
-        ends = ends.join(held.select("token", F.col("box").alias(e), F.col("held").alias(f"{e}_held")), ["token", e])
+        ends = at(ends, "token", e).join(at(held.select("token", F.col("box").alias(e), F.col("held").alias(f"{e}_held")), "token", e), ["token", e])
     ends = ends.select("token", F.col("l_held").alias("l"), F.col("r_held").alias("r"))
     return inside.unionByName(ends.mapInArrow(across, "a binary, b binary"))
 
 
 def _open(posts: DataFrame, comps: DataFrame) -> DataFrame:
     """The entries (token, place, digest, comp) of n-grams whose classes are in more than one component."""
-    rooted = written(posts.join(comps.withColumnRenamed("key", "digest"), "digest", "left").select(*_ENTRY, F.coalesce("root", "digest").alias("comp")))
-    split = rooted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-    return rooted.join(split, "token")
+    deal = Deal(posts.count())
+    rooted = deal(posts, "digest").join(deal(comps.withColumnRenamed("key", "digest"), "digest"), "digest", "left").select(*_ENTRY, F.coalesce("root", "digest").alias("comp"))
+    rooted = written(rooted)
+    split = deal(rooted, "token").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+    return deal(rooted, "token").join(split, "token")
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, block_bytes: int = 4 << 20, fan_bits: int = 10) -> DataFrame:
@@ -387,9 +399,17 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     classes = texts.filter("digest IS NOT NULL").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "place", "point", "shared", "prefix")))
     classes = written(classes)
     posts = written(classes.select(F.explode("prefix").alias("token"), "place", "digest"))
-    partners = _edges(posts).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
-    comps = merged(None, _close(partners.select(F.explode("a").alias("a"), "b"), classes, percent))
-    left = _open(posts, comps).join(classes.select("digest", "n", "point", "prefix"), "digest")
+    deal = Deal(posts.count())
+
+    def partnered(entries):
+        some = F.array_distinct(F.array(F.min("a"), F.max("a"), F.min("before"), F.max("before")))
+        pairs = deal(_edges(entries), "b").groupBy("b").agg(some.alias("a"))
+        return _close(pairs.select(F.explode("a").alias("a"), "b"), classes, percent)
+
+    comps = merged(None, partnered(posts))
+    one_each = deal(_open(posts, comps), "token").groupBy("token", "comp").agg(F.min(F.struct("place", "digest")).alias("e")).select("token", "e.*")
+    comps = merged(comps, partnered(written(one_each)))
+    left = written(deal(_open(posts, comps), "digest").join(deal(classes.select("digest", "n", "point", "prefix"), "digest"), "digest"))
     comps = merged(comps, _close(_candidates(left, percent), classes, percent))
     root = mine.filter("digest IS NOT NULL").join(comps.withColumnRenamed("key", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
     lowest = written(root.groupBy("root").agg(F.min("doc_id").alias("component_id")))

@@ -87,7 +87,7 @@ def test_rtree_finds_all_that_the_bound_allows(spark):
 def test_tree_edges_reach_every_entry_and_stay_few(spark):
     rows = [(t, i, b"%05d" % i) for t, k in ((1, 700), (2, 3), (3, 65)) for i in range(k)]
     entries = spark.createDataFrame(rows, "token long, place long, digest binary").repartition(5)
-    edges = [(bytes(r.a), bytes(r.b)) for r in ngram_jaccard._edges(entries, 8).collect()]
+    edges = [(bytes(r.a), bytes(r.b)) for r in ngram_jaccard._edges(entries, 8).collect() if r.before < r.b]
     assert len(edges) == 699 + 2 + 64 and {b for _, b in edges} | {b"00000"} == {b"%05d" % i for i in range(700)}
 
 
