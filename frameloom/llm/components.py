@@ -15,7 +15,7 @@ class Deal:
     adaptive merging and skew handling, do it.
     """
 
-    def __init__(self, rows: int, rows_a_task: int = 100_000, most: int = 2_000_000):
+    def __init__(self, rows: int, rows_a_task: int = 100_000, most: int = 500_000):
         self.n = max(1, -(-rows // rows_a_task)) if rows <= most else None
 
     def __call__(self, df: DataFrame, *keys: str) -> DataFrame:
