@@ -351,7 +351,12 @@ def _candidates(entries: DataFrame, percent: int, leaf: int = 32, fan: int = 16)
     # up: boxes of boxes until each tree has one root
     levels = [bottom.select("token", *box)]
     while True:
-        up = written(deal.ordered(levels[-1], "token", "least", "box").mapInArrow(boxes, box_schema))
+        order = ("token", "least", "box")
+        if len(levels) == 1:  # a frequent n-gram's leaves are spread over tasks
+            at = deal.ordered(levels[-1], *order)
+        else:  # the far fewer boxes of an n-gram lie together, so each level is ``fan`` times as small and the levels end
+            at = (deal(levels[-1], "token") if deal.n else levels[-1].repartition("token")).sortWithinPartitions(*order)
+        up = written(at.mapInArrow(boxes, box_schema))
         levels.append(up)
         if deal(up.select("token"), "token").groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
             break
