@@ -32,22 +32,24 @@ def blocks(plane: DataFrame, width: int, height: int, value: str, keys: tuple[st
 
 
 def _cosines(turned: bool) -> Column:
-    """64 values: at 8 u + x the basis u at x, or at 8 x + u if ``turned``."""
-    return F.array(*(F.lit(cosine(n % 8, n // 8) if turned else cosine(n // 8, n % 8)) for n in range(64)))
+    """8 arrays of 8 values: the basis u at each x, or at x each basis if ``turned``."""
+    return F.array(*(F.array(*(F.lit(cosine(m, n) if turned else cosine(n, m)) for m in range(8))) for n in range(8)))
 
 
 def _rows_then_columns(values: str, turned: bool) -> Column:
-    """The separable product of an 8 x 8 array with the basis on both sides."""
-    table = _cosines(turned)
-    places, eight = F.sequence(F.lit(0), F.lit(63)), F.sequence(F.lit(0), F.lit(7))
+    """The separable product of an 8 x 8 array with the basis on both sides.
 
-    def along_rows(k):
-        return F.aggregate(eight, F.lit(0.0), lambda a, x: a + F.get(F.col(values), (k - k % 8 + x).cast("int")) * F.get(table, (k % 8 * 8 + x).cast("int")))
+    Spark puts the expression of a column where its name stands, so ``values`` is named once and outside of all loops.
+    The first product is made by columns, which makes them the rows of the second.
+    """
+    table = _cosines(turned)
 
-    def along_columns(half):
-        return lambda k: F.aggregate(eight, F.lit(0.0), lambda a, y: a + F.get(half, (y * 8 + k % 8).cast("int")) * F.get(table, (F.floor(k / 8) * 8 + y).cast("int")))
+    def product(rows):
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda total, pq: total + pq)
+        return F.transform(table, lambda a: F.transform(rows, lambda b: dot(a, b)))
 
-    return u64.let(F.transform(places, along_rows), lambda half: F.transform(places, along_columns(half)))
+    rows = u64.let(F.col(values).cast("array<double>"), lambda v: F.transform(F.sequence(F.lit(1), F.lit(57), F.lit(8)), lambda n: F.slice(v, n, F.lit(8))))
+    return F.flatten(u64.let(u64.let(rows, product), product))
 
 
 def forward(rows: DataFrame) -> DataFrame:
